@@ -6,14 +6,101 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rasterloom.functions import pixel as X
+from rasterloom.operators import diagnostics as D
+from rasterloom.operators import filters as F
+from rasterloom.operators import quality as Q
+from rasterloom.operators import resample as S
+from rasterloom.operators.relation import KEY, apply, blur, box, extreme, laplacian3, sobel, sub
+from rasterloom.sources import duck, rasters
+
 Query = Callable[[SparkSession, str], DataFrame]
+_SOURCES = {"R1": (rasters.gray_mosaic, duck.R1), "R2": (rasters.colour_mosaic, duck.R2), "R3": (rasters.lineitem_raster, duck.R3)}
+
+def _keep(select: str) -> str:
+    """Whole-number planes with their image and place."""
+    return f"SELECT * FROM {sub(select)} z"
+
+
+def _planes(select: str, planes: list[str], digits: int) -> str:
+    """Planes rounded to a decimal place: engines add in different orders."""
+    return f"SELECT image_id, y, x, {', '.join(f'{X.rounded(p, digits)} AS {p}' for p in planes)} FROM {sub(select)} z"
+
+
+def _against(t: str) -> str:
+    """A grey table beside a coarser copy of itself."""
+    return sub(Q.pair(t, sub(f"SELECT {KEY}, {X.fdiv('g', 16)} * 16 + 8 AS g FROM {t}")))
+
+
+#: Name -> source and operator.
+OPERATORS: dict[str, tuple[str, Callable[[str], str]]] = {
+    "haar_noise_mad": ("R1", D.noise),
+    "chroma_noise_mad": ("R2", D.chroma_noise),
+    "optical_blur": ("R1", D.blur_score),
+    "entropy_range_clip": ("R3", lambda t: D.dynamic_range(sub(D.gray(t)))),
+    "illuminant_sog": ("R2", D.illuminant),
+    "backlight_geometry": ("R1", D.backlight),
+    "jpeg_blocking": ("R1", D.jpeg_blocking),
+    "haze_index": ("R3", D.haze),
+    "content_style": ("R3", D.content_style),
+    "diagnose_image": ("R2", D.diagnose),
+    "auto_tune": ("R2", lambda t: D.tune(sub(D.diagnose(t)))),
+    "style_route": ("R2", lambda t: D.style_route(sub(D.content_style(t)))),
+    "gray_bt601": ("R3", lambda t: _keep(f"SELECT {KEY}, {X.GRAY} AS gray FROM {t}")),
+    "ycrcb": ("R3", lambda t: _keep(f"SELECT {KEY}, {X.GRAY} AS luma, {X.CR} AS cr, {X.CB} AS cb FROM {t}")),
+    "hsv": ("R3", lambda t: _keep(f"SELECT {KEY}, {X.HUE} AS hue, {X.SAT} AS sat, {X.MAX3} AS val FROM {t}")),
+    "oklab_forward": ("R2", lambda t: _planes(f"SELECT {KEY}, {', '.join(f'{e} AS {n}' for e, n in zip(X.oklab(), ('ok_l', 'ok_a', 'ok_b'), strict=True))} FROM {t}", ["ok_l", "ok_a", "ok_b"], 5)),
+    "oklab_vibrance": ("R2", lambda t: _keep(F.vibrance(t, 1.2))),
+    "white_balance": ("R2", lambda t: _keep(f"SELECT {KEY}, {', '.join(f'{e} AS {c}' for e, c in zip(X.white_balance(18, 6), 'bgr', strict=True))} FROM {t}")),
+    "exposure_offset": ("R3", lambda t: _keep(F.exposure(t, 8))),
+    "skin_predicate": ("R2", lambda t: f"SELECT image_id, CAST(sum(CASE WHEN {X.SKIN} THEN 1 ELSE 0 END) AS BIGINT) AS skin_pixels FROM {t} GROUP BY image_id"),
+    "center_crop": ("R1", lambda t: _keep(S.crop(t, 20))),
+    "box_filter": ("R1", lambda t: f"SELECT image_id, y, x, CAST(g AS BIGINT) AS total FROM {sub(box(t, 6, ['g']))} b"),
+    "gaussian_blur": ("R1", lambda t: _planes(blur(sub(f"SELECT {KEY}, CAST(g AS DOUBLE) AS v FROM {t}"), X.gaussian(9, 2.0), ["v"]), ["v"], 5)),
+    "sobel": ("R1", lambda t: _keep(sobel(t))),
+    "laplacian3": ("R1", lambda t: _keep(laplacian3(t))),
+    "erode": ("R1", lambda t: _keep(extreme(t, 3, ["g"], "min"))),
+    "dilate": ("R1", lambda t: _keep(extreme(t, 3, ["g"], "max"))),
+    "dark_channel": ("R3", lambda t: _keep(F.dark_channel(t))),
+    "airlight": ("R3", lambda t: f"SELECT image_id, {X.rounded('ab', 6)} AS ab, {X.rounded('ag', 6)} AS ag, {X.rounded('ar', 6)} AS ar FROM {sub(F.airlight(t))} a"),
+    "transmission": ("R3", lambda t: _planes(F.transmission(t), ["tr"], 5)),
+    "dehaze": ("R2", lambda t: _keep(F.dehaze(t, 0.65, 32, 32))),
+    "swf": ("R2", lambda t: _keep(F.side_window(t, 2))),
+    "guided_filter": ("R2", lambda t: _planes(F.guided(sub(f"SELECT {KEY}, {X.GRAY} / 255e0 AS lum, b / 255e0 AS v FROM {t}"), "lum", ["v"], 8, 1e-3, 4, 32, 32), ["q_v"], 5)),
+    "guided_pair": ("R2", lambda t: _planes(F.guided(sub(f"SELECT {KEY}, {X.GRAY} / 255e0 AS lum, b / 255e0 AS v, r / 255e0 AS u FROM {t}"), "lum", ["v", "u"], 6, 1e-3, 2, 32, 32), ["q_v", "q_u"], 5)),
+    "cas": ("R2", lambda t: _keep(F.cas(t, 1.2))),
+    "bimef": ("R2", lambda t: _keep(F.contrast(t, 1.8, 32, 32))),
+    "local_tone": ("R2", lambda t: _keep(F.local_tone(t, 0.5, 0.5, 0.5, 32, 32))),
+    "depixelate": ("R2", lambda t: _keep(F.depixelate(t, 40))),
+    "shock": ("R2", lambda t: _keep(F.shock(t, 40))),
+    "semantic_masks": ("R2", lambda t: _planes(F.semantic_masks(t), ["sky", "foliage", "skin", "shadow", "structure"], 5)),
+    "semantic_coverage": ("R2", F.coverage),
+    "guidance_maps": ("R2", lambda t: _planes(F.guidance(t, 32, 32), ["q_detail", "q_denoise"], 5)),
+    "pyr_down": ("R1", lambda t: _planes(S.pyr_down(t, ["g"], 32, 32), ["g"], 4)),
+    "pyr_up": ("R1", lambda t: _planes(S.pyr_up(t, ["g"], 32, 32, 64, 64), ["g"], 4)),
+    "pyramid_filter": ("R2", lambda t: _keep(F.pyramid(t, 32, 32, 1.2, 1.1, 0.15, 0.2))),
+    "area_resize": ("R1", lambda t: _planes(S.resize(t, ["g"], 32, 32, 12, 12, S.area), ["g"], 4)),
+    "linear_resize": ("R1", lambda t: _planes(S.resize(t, ["g"], 32, 32, 50, 50, S.linear), ["g"], 4)),
+    "nearest_resize": ("R1", lambda t: _planes(S.resize(t, ["g"], 32, 32, 13, 13, S.nearest), ["g"], 4)),
+    "lanczos_easu": ("R2", lambda t: _keep(S.easu(t, 32, 32, 2.0))),
+    "tile_feather": ("R1", lambda t: _keep(S.tiles(t, 32, 32, 16, 4))),
+    "psnr": ("R1", lambda t: Q.psnr(_against(t))),
+    "ssim": ("R1", lambda t: Q.ssim(_against(t))),
+    "compare_pair": ("R1", lambda t: Q.compare(_against(t))),
+    "split_view": ("R1", lambda t: _keep(Q.split_view(t, sub(f"SELECT {KEY}, 255 - g AS g FROM {t}"), 0.4))),
+    "neural_fallback": ("R2", lambda t: _keep(S.easu(t, 32, 32, 2.0))),
+}
+
+
+def _query(source: str, operator: Callable[[str], str]) -> Query:
+    return lambda spark, sf_dir: apply(_SOURCES[source][0](spark, sf_dir), operator)
 
 
 def queries() -> dict[str, Query]:
     """Name and function of each query."""
-    return {}
+    return {name: _query(*x) for name, x in OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by the query's name."""
-    return {}
+    return {name: f"WITH src AS MATERIALIZED ({_SOURCES[s][1]}) {op('src')}" for name, (s, op) in OPERATORS.items()}
