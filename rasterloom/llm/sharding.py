@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import fresh_path, map_arrow, partitions, text_or_empty
 
 ROW_BYTES = 16
+#: Offsets that may be broadcast; beyond it the join is shuffled.
+BROADCAST_BUCKETS = 1 << 20
 
 
 def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
@@ -101,6 +103,9 @@ def shard(docs: DataFrame, shards: int = 40, *, seed: int = 29, bucket_bytes: in
     counts = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
     order = W.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("__bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("__offset"))
+    # 16 bytes a bucket; the records need not move again where that is little
+    if counts.count() <= BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)
     placed = rows.join(offsets, "__bucket").withColumn("__place", F.col("__offset") + F.col("__slot"))
     return placed.withColumns({"shard": (F.col("__place") % shards).cast("int"), "slot": F.floor(F.col("__place") / shards).cast("long"), "size": F.col("__size")}).drop("__bucket", "__slot", "__offset", "__place", "__size")
 
