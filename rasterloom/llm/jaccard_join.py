@@ -3,23 +3,29 @@
 A document's set holds the hashes of its distinct word shingles. Sizes are cut
 into bands so wide that linked sets lie in one band or in neighbouring ones;
 for each band the largest symmetric difference k of two linked sets is known.
-The feature domain is divided into n1 parts, each into three sub-parts. A part
-in which two sets differ in one feature at most has a pair of sub-parts in
-which they agree; as at most k/2 parts can hold two differences or more, n1 >
-k/2 parts leave at least one that agrees, so linked sets share a signature:
-part, choice of two sub-parts, and what the set has there.
-
-Sets with no feature in a choice would all share one signature. ``spare`` more
-parts are made than needed, so a linked pair agrees in more than ``spare``
-parts; a set with at most ``spare`` such parts needn't emit them, and the few
-others do.
-
-Equal sets are one node from the start. In a bucket of one signature every
-node is compared with the least one; nodes whose comparison fails are then
-compared with those members of the bucket that are not in their component, so
-no link is lost, while a group of copies costs about one comparison a member.
-Every candidate is checked exactly on the documents' shingles. Nodes are named
-by 64 bits of the set's hash (two sets in 2**64 would share a name).
+The feature domain is divided into parts, each into two sub-parts, of which
+every subset of one is enumerated: a signature is the band, the part, the
+chosen sub-part, and what the set has there. Each differing feature spoils one
+signature at most, so with k + 1 + ``spare`` of them linked sets share more
+than ``spare``.
+
+A set drops its ``spare`` poorest signatures, by number of features and then
+by value. What two sets share stands in one order for both, so each drops a
+prefix of it and at least one stays shared; empty sub-parts, which many sets
+would share, are the first to go.
+
+Equal sets are one node from the start. Signatures are shuffled in packets of
+five bytes each beside a count a node. In a bucket of one signature every node
+is paired with the least one. A node keeps the parity of its features' number
+in each of as many bins as it has features: bins that differ are a lower bound
+of the symmetric difference, so most unlinked pairs go without their texts
+being read, and no linked one does. The others are checked exactly on the
+documents' shingles: first each node with the least of its partners, then the
+pairs that are still in different components. Buckets of three or more nodes
+that aren't in one component are then compared in blocks inside one task, by
+the bound alone; what passes is checked exactly too, so no link is lost.
+Nodes are named by 64 bits of the set's hash (two sets in 2**64 would share a
+name).
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing; texts of fewer words than a shingle have one shingle, their
@@ -101,10 +107,11 @@ def band_below(i: int, percent: int) -> tuple[int, int]:
 
 @cache
 def scheme(top: int, percent: int) -> tuple[int, int, int]:
-    """k, n1 and spare for pairs whose smaller set has at most ``top`` features."""
+    """k, number of sub-parts and spare for pairs whose smaller set has at most ``top`` features."""
     k = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
-    spare = 0 if k < 6 else 1 + k // 25
-    return k, k // 2 + 1 + spare, spare
+    cells = k + 3 + k // 3
+    cells += cells % 2
+    return k, cells, cells - k - 1
 
 
 def signatures(features: np.ndarray, percent: int) -> np.ndarray:
@@ -116,24 +123,42 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
     value = mix64(features + np.uint64(0x632BE59BD9B4E019))
     out = []
     for band, top in tops:
-        k, n1, spare = scheme(top, percent)
+        k, cells, spare = scheme(top, percent)
         if not k:
             continue  # only equal sets link, and those are one node
-        part = (features >> np.uint64(32)).astype(np.int64) % n1
-        cell = part * 3 + (features & np.uint64(0xFFFFFFFF)).astype(np.int64) % 3
-        sums = np.zeros(3 * n1, dtype=np.uint64)
+        # sub-parts 2j and 2j + 1 make up part j
+        cell = ((features >> np.uint64(32)) % np.uint64(cells)).astype(np.int64)
+        sums = np.zeros(cells, dtype=np.uint64)
         np.add.at(sums, cell, value)
-        count = np.bincount(cell, minlength=3 * n1).reshape(n1, 3)
-        sums = sums.reshape(n1, 3)
-        held = count.sum(axis=1, keepdims=True) - count
-        sig = sums.sum(axis=1, keepdims=True) - sums
-        place = np.arange(3 * n1, dtype=np.uint64).reshape(n1, 3) + (np.uint64(band) << np.uint64(40))
-        sig = mix64(sig + mix64(place + np.uint64(0xD1B54A32D192ED03)))
-        blank = held == 0
-        out.append(sig[~blank] if blank.any(axis=1).sum() <= spare else sig.ravel())
+        held = np.bincount(cell, minlength=cells)
+        place = np.arange(cells, dtype=np.uint64) + (np.uint64(band) << np.uint64(40))
+        sig = mix64(sums + mix64(place + np.uint64(0xD1B54A32D192ED03)))
+        out.append(sig[np.lexsort((sig, held))[spare:]])
     return np.concatenate(out) if out else features[:0]
 
 
+def parities(features: np.ndarray) -> bytes:
+    """Whether an odd number of features lies in each bin; bins are a power of two, one a feature at least."""
+    bins = 1 << max(6, (len(features) - 1).bit_length())
+    odd = np.bincount((features & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, words: int) -> np.ndarray:
+    """Parities in ``words`` times 64 bins."""
+    x = np.frombuffer(bits, dtype=np.uint64)
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def may_link(x: bytes, y: bytes, size: int, percent: int) -> bool:
+    """False only for sets that don't link; ``size`` is the sum of theirs."""
+    words = min(len(x), len(y)) // 8
+    apart = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+    return apart * (100 + percent) <= (100 - percent) * size
+
+
 def _node(features: np.ndarray) -> int:
     """A set's name: 64 bits over its features."""
     return int(mix64(np.array([np.add.reduce(mix64(features)) + np.uint64(len(features))], dtype=np.uint64)).view(np.int64)[0])
@@ -143,72 +168,205 @@ def _nodes(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
             sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64())], names=["doc", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([parities(s) if len(s) else b"" for s in sets], pa.binary())], names=["doc", "n_shingles", "node", "bits"])
 
     return run
 
 
-def _signatures(words: int, percent: int):
+#: Signatures that a task gathers before it sends them in packets.
+PACKED = 1 << 20
+#: Nodes whose signatures a task remembers to have sent.
+REMEMBER = 1 << 18
+
+
+def _packets(words: int, percent: int, parts: int):
+    """One row for each part of the signatures: their low 40 bits, grouped by node."""
+
+    def packed(nodes: list[int], sigs: list[np.ndarray]) -> pa.RecordBatch:
+        sig = np.concatenate(sigs)
+        owner = np.repeat(np.arange(len(nodes)), [len(x) for x in sigs])
+        part = ((sig >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, sig, owner = part[order], sig[order], owner[order]
+        new = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1]))))
+        count = np.diff(np.concatenate((new, [len(part)]))).astype(np.int32)
+        named = np.array(nodes, dtype=np.int64)[owner[new]]
+        low, high = (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32), (sig >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8)
+        here, at = np.unique(part, return_index=True)
+        ends = [*at[1:].tolist(), len(part)]
+        edge = np.searchsorted(new, [*at.tolist(), len(part)]).tolist()
+        rows = list(zip(at.tolist(), ends, edge[:-1], edge[1:], strict=True))
+        columns = ([low[a:b].tobytes() for a, b, _, _ in rows], [high[a:b].tobytes() for a, b, _, _ in rows], [named[c:d].tobytes() for _, _, c, d in rows], [count[c:d].tobytes() for _, _, c, d in rows])
+        return pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names=["part", "low", "high", "nodes", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        nodes: list[int] = []
+        sigs: list[np.ndarray] = []
+        size = 0
         for batch in pieces(batches, "text", 1 << 20):
-            seen: dict[int, np.ndarray] = {}
             for s in shingle_sets(batch.column(0).cast(pa.binary()).to_pylist(), words):
-                if len(s) and (k := _node(s)) not in seen:
-                    seen[k] = signatures(s, percent)
-            if seen:
-                nodes = np.repeat(np.array(list(seen), dtype=np.int64), [len(x) for x in seen.values()])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(seen.values())).view(np.int64), pa.int64()), pa.array(nodes, pa.int64())], names=["sig", "node"])
+                if not len(s) or (k := _node(s)) in sent:
+                    continue
+                if len(sent) >= REMEMBER:
+                    sent.clear()
+                sent.add(k)
+                found = signatures(s, percent)
+                if len(found):
+                    nodes.append(k)
+                    sigs.append(found)
+                    size += len(found)
+            if size >= PACKED:
+                yield packed(nodes, sigs)
+                nodes, sigs, size = [], [], 0
+        if size:
+            yield packed(nodes, sigs)
 
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by signature and node, the distinct ones of buckets with two nodes or more, with the least."""
-    sig = pivot = node = None
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From packets sorted by part: ``pivot, node`` of all buckets, and ``bucket, node`` of those of three nodes or more."""
+    names = ["bucket", "pivot", "node"]
+
+    def buckets(got: list[tuple[bytes, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        low, high, node, count = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*got, strict=True), (np.uint32, np.uint8, np.int64, np.int32), strict=True))
+        sig = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+        node = np.repeat(node, count)
+        order = np.argsort(sig, kind="stable")
+        sig, node = sig[order], node[order]
+        again = sig[1:] == sig[:-1]
+        shared = np.concatenate((again, [False])) | np.concatenate(([False], again))
+        sig, node = sig[shared], node[shared]
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        if not len(sig):
+            return
+        # one row for a node of a bucket
+        own = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
+        sig, node = sig[own], node[own]
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        many = np.diff(np.concatenate((first, [len(sig)])))
+        pair = np.repeat(many, many) > 1
+        pivot = np.repeat(node[first], many)
+        pair[first] = False
+        a, b = pivot[pair], node[pair]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        if len(a):
+            own = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            a, b = a[own], b[own]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=names)
+        # buckets with the same nodes are one
+        name = np.add.reduceat(mix64(node.view(np.uint64) + np.uint64(0x2545F4914F6CDD1D)), first).view(np.int64)
+        _, at = np.unique(name, return_index=True)
+        take = np.zeros(len(first), dtype=bool)
+        take[at] = True
+        take = np.repeat(take & (many > 2), many)
+        if take.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, many)[take]), pa.nulls(int(take.sum()), pa.int64()), pa.array(node[take])], names=names)
+
+    part, got = None, []
     for batch in batches:
-        s, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(s):
-            continue
-        if sig is not None:  # the last row of the batch before leads this one
-            s, k = np.concatenate(([sig], s)), np.concatenate(([node], k))
-        start = np.concatenate(([True], s[1:] != s[:-1]))
-        if sig is not None:
-            start[0] = False
-        first = np.flatnonzero(start)
-        lead = k[first[np.maximum(np.cumsum(start) - 1, 0)]] if len(first) else np.full(len(k), pivot)
-        if sig is not None:
-            lead[: first[0] if len(first) else len(k)] = pivot
-        # a row after its bucket's first and unlike the row before it
-        same = np.concatenate(([sig is not None], (s[1:] == s[:-1]) & (k[1:] == k[:-1])))
-        keep = ~start & ~same & (lead != k)
-        sig, node, pivot = s[-1], k[-1], lead[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(lead[keep]), pa.array(k[keep])], names=["sig", "pivot", "node"])
+        for p, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if p != part and got:
+                yield from buckets(got)
+                got = []
+            part = p
+            got.append(row)
+    if got:
+        yield from buckets(got)
+
+
+def _bounded(percent: int):
+    """The pairs that the bound lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, x, y = (c.to_pylist() for c in batch.columns[2:])
+            keep = pa.array([may_link(*v, percent) for v in zip(x, y, size, strict=True)], pa.bool_())
+            yield batch.select([0, 1]).filter(keep)
+
+    return run
+
+
+def _mixed(percent: int):
+    """Pairs that may link of different labels in one bucket, from rows sorted by bucket."""
+
+    def pairs(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        node, label, size = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
+        words = min(len(r[3]) for r in rows) // 8
+        bits = np.stack([folded(r[3], words) for r in rows])
+        kinds, count = np.unique(label, return_counts=True)
+        few = np.flatnonzero(label != kinds[count.argmax()])
+        step = max(1, (1 << 21) // bits.size)
+        for i in range(0, len(few), step):
+            own = few[i : i + step]
+            apart = np.bitwise_count(bits[own][:, None, :] ^ bits[None]).sum(axis=2, dtype=np.int64)
+            ok = (apart * (100 + percent) <= (100 - percent) * (size[own][:, None] + size[None])) & (label[own][:, None] != label[None])
+            x, y = np.nonzero(ok)
+            if len(x):
+                u, v = node[own[x]], node[y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, rows = None, []
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != bucket and rows:
+                    yield from pairs(rows)
+                    rows = []
+                bucket = k
+                rows.append(row)
+        if rows:
+            yield from pairs(rows)
+
+    return run
 
 
 def _check(words: int, percent: int):
+    """The pairs that link, from texts sorted by ``a``, salt and role: that of ``a`` leads those of its partners."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text_a", 1 << 20):
-            a = shingle_sets(batch.column(2).cast(pa.binary()).to_pylist(), words)
-            b = shingle_sets(batch.column(3).cast(pa.binary()).to_pylist(), words)
-            ok = pa.array([linked(x, y, percent) for x, y in zip(a, b, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ok], names=["a", "b", "ok"])
+        at = lead = None
+        for batch in pieces(batches, "text", 1 << 20):
+            a, b = [], []
+            sets = shingle_sets(batch.column(4).cast(pa.binary()).to_pylist(), words)
+            for k, salt, role, node, own in zip(*(c.to_pylist() for c in batch.columns[:4]), sets, strict=True):
+                if not len(own) or _node(own) != node:
+                    continue  # another text under the same id
+                if not role:
+                    at, lead = (k, salt), own
+                elif at == (k, salt) and linked(lead, own, percent):
+                    a.append(k)
+                    b.append(node)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+#: Partners of one node that one group of texts holds.
+PARTNERS = 256
+
+
 def checked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a, b, ok`` for pairs of nodes, by the shingles of one document of each.
+    """Those of the distinct pairs ``a, b`` of nodes that link, by the shingles of one document of each.
 
-    The texts of the documents in question are taken once. If their ids are
-    few enough they go to the texts; otherwise both sides are shuffled.
+    A text is shuffled once for each pair in which it is ``b``; that of ``a``
+    once for each ``PARTNERS`` partners, so a node with many is dealt out. If
+    the ids asked for are few enough they go to the texts; otherwise both
+    sides are shuffled.
     """
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "doc"), "asked")
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("groups"))
+    salted = written(pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").alias("salt")), "salted")
+    asked = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("node"))
+    asked = asked.union(salted.select("a", "salt", F.lit(0), "a").distinct())
+    asked = written(asked.join(nodes.select("node", "doc"), "node").select("a", "salt", "role", "node", "doc"), "asked")
     few = asked.count() <= BROADCAST_IDS
-    texts = written(rows.join(F.broadcast(asked) if few else asked, "doc").select("node", "text").dropDuplicates(["node"]), "texts")
-    met = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    met = met.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return written(map_arrow(met, _check(words, percent), "a long, b long, ok boolean"), "checked")
+    met = rows.join(F.broadcast(asked) if few else asked, "doc").select("a", "salt", "role", "node", "text")
+    met = met.repartition(partitions(rows.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role")
+    return written(map_arrow(met, _check(words, percent), "a long, b long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -234,31 +392,45 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose nodes have different labels."""
+    for k in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}")), k, "left")
+    return pairs.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
 def classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id`` of every document."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
-    sets = written(map_arrow(rows, _nodes(words), "doc long, n_shingles long, node long"), "sets")
-    nodes = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc").alias("doc"))
+    sets = written(map_arrow(rows, _nodes(words), "doc long, n_shingles long, node long, bits binary"), "sets")
+    nodes = written(sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits")), "nodes")
     n = partitions(docs.sparkSession)
-    signed = map_arrow(rows.select("text"), _signatures(words, percent), "sig long, node long")
-    dealt = signed.repartition(n, "sig").sortWithinPartitions("sig", "node")
-    buckets = written(map_arrow(dealt, _buckets, "sig long, pivot long, node long"), "buckets")
-    first = checked(buckets.select(F.col("pivot").alias("a"), F.col("node").alias("b")), rows, nodes, words, percent)
-    edges = first.filter("ok")
+    packets = map_arrow(rows.select("text"), _packets(words, percent, n), "part int, low binary, high binary, nodes binary, counts binary")
+    met = written(map_arrow(packets.repartition(n, "part").sortWithinPartitions("part"), _meet, "bucket long, pivot long, node long"), "met")
+    pairs = met.filter("bucket IS NULL").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    own = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "bits_a", "bits_b")
+    pairs = written(map_arrow(both, _bounded(percent), "a long, b long"), "pairs")
+    # each node with the least of its partners, then those pairs that this leaves apart
+    tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    edges = checked(tried, rows, nodes, words, percent)
     labels = components(edges)
-    # buckets with a member outside its pivot's component
-    of = labels.select(F.col("node").alias("k"), F.col("label").alias("l"))
-    named = buckets.join(of, buckets["node"] == of["k"], "left").select("sig", "pivot", "node", F.coalesce("l", "node").alias("label"))
-    of = labels.select(F.col("node").alias("k"), F.col("label").alias("l"))
-    named = named.join(of, named["pivot"] == of["k"], "left").select("sig", "node", "label", F.coalesce("l", "pivot").alias("pivot_label"))
-    failed = named.filter("label <> pivot_label").select("sig", F.col("node").alias("x"), F.col("label").alias("x_label"))
-    rest = named.join(failed, "sig").filter("label <> x_label").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    rest = written(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    left = written(_apart(pairs.join(tried, ["a", "b"], "left_anti"), labels), "left")
+    if left.limit(1).count():
+        edges = edges.union(checked(left, rows, nodes, words, percent))
+        labels = components(edges)
+    # buckets of several components
+    few = labels.count() <= BROADCAST_IDS
+    members = met.filter("bucket IS NOT NULL").select("bucket", "node")
+    members = members.join(F.broadcast(labels) if few else labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    several = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
+    several = written(members.join(several, "bucket", "left_semi").distinct(), "several")
+    dealt = several.join(nodes, "node").select("bucket", "node", "label", "n", "bits").repartition(n, "bucket").sortWithinPartitions("bucket")
+    rest = map_arrow(dealt, _mixed(percent), "a long, b long").distinct()
+    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        more = checked(rest, rows, nodes, words, percent).filter("ok")
-        if more.limit(1).count():
-            labels = components(edges.select("a", "b").union(more.select("a", "b")))
+        labels = components(edges.union(checked(rest, rows, nodes, words, percent)))
     low = nodes.join(labels, "node").groupBy("label").agg(F.min("doc").alias("component"))
     named_low = labels.join(low, "label").select("node", "component")
     own = nodes.join(named_low, "node", "left").select("node", F.coalesce("component", "doc").alias("component"))

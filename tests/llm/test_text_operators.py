@@ -200,6 +200,20 @@ def brute_components(rows, n, percent):
     return {k: (len(sets[k]), comp[k]) for k in sets}
 
 
+def test_partenum_signatures_and_bound():
+    rng = np.random.default_rng(11)
+    for percent in (80, 85):
+        for size in [*range(1, 40), 300, 301, 2000]:
+            for _ in range(4):
+                a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+                gone = int(rng.integers(0, size * (100 - percent) // 100 + 1))
+                new = np.unique(rng.integers(0, 2**63, int(rng.integers(0, size // 5 + 1))).astype(np.uint64))
+                b = np.unique(np.concatenate((a[gone:], new)))
+                if jaccard_join.linked(a, b, percent):
+                    assert jaccard_join.may_link(jaccard_join.parities(a), jaccard_join.parities(b), len(a) + len(b), percent)
+                    assert len(a) == len(b) and (a == b).all() or np.intersect1d(jaccard_join.signatures(a, percent), jaccard_join.signatures(b, percent)).size
+
+
 def test_jaccard_join(spark, odd, empty):
     docs = table(spark, SF, "documents")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(docs, words=4, percent=85).collect()}
