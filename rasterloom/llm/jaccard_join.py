@@ -17,9 +17,9 @@ would share, are the first to go.
 Equal sets are one node from the start. Signatures are shuffled in packets of
 five bytes each beside a count a node. In a bucket of one signature every node
 is paired with the least one. A node keeps the parity of its features' number
-in each of as many bins as it has features: bins that differ are a lower bound
-of the symmetric difference, so most unlinked pairs go without their texts
-being read, and no linked one does. The others are checked exactly on the
+in each of four to eight bins a feature: bins that differ are a lower bound of
+the symmetric difference, so most unlinked pairs go without their texts being
+read, and no linked one does. The others are checked exactly on the
 documents' shingles: first each node with the least of its partners, then the
 pairs that are still in different components. Buckets of three or more nodes
 that aren't in one component are then compared in blocks inside one task, by
@@ -138,8 +138,8 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parities(features: np.ndarray) -> bytes:
-    """Whether an odd number of features lies in each bin; bins are a power of two, one a feature at least."""
-    bins = 1 << max(6, (len(features) - 1).bit_length())
+    """Whether an odd number of features lies in each bin; bins are a power of two, four a feature at least."""
+    bins = 1 << max(6, (4 * len(features) - 1).bit_length())
     odd = np.bincount((features & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -291,12 +291,17 @@ def _bounded(percent: int):
 
 
 def _mixed(percent: int):
-    """Pairs that may link of different labels in one bucket, from rows sorted by bucket."""
+    """Pairs that may link of different labels in one bucket, from rows sorted by bucket.
 
-    def pairs(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    Each node has the list of its buckets, and a pair is made only in the
+    first of those that both are in.
+    """
+
+    def pairs(bucket: int, rows: list[tuple[int, int, int, bytes, list[int]]]) -> Iterator[pa.RecordBatch]:
         node, label, size = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
         words = min(len(r[3]) for r in rows) // 8
         bits = np.stack([folded(r[3], words) for r in rows])
+        lists = [set(r[4]) for r in rows]
         kinds, count = np.unique(label, return_counts=True)
         few = np.flatnonzero(label != kinds[count.argmax()])
         step = max(1, (1 << 21) // bits.size)
@@ -306,7 +311,9 @@ def _mixed(percent: int):
             ok = (apart * (100 + percent) <= (100 - percent) * (size[own][:, None] + size[None])) & (label[own][:, None] != label[None])
             x, y = np.nonzero(ok)
             if len(x):
-                u, v = node[own[x]], node[y]
+                x = own[x]
+                least = np.array([min(lists[i] & lists[j]) == bucket for i, j in zip(x.tolist(), y.tolist(), strict=True)], dtype=bool)
+                u, v = node[x[least]], node[y[least]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,12 +321,12 @@ def _mixed(percent: int):
         for batch in batches:
             for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != bucket and rows:
-                    yield from pairs(rows)
+                    yield from pairs(bucket, rows)
                     rows = []
                 bucket = k
                 rows.append(row)
         if rows:
-            yield from pairs(rows)
+            yield from pairs(bucket, rows)
 
     return run
 
@@ -399,6 +406,22 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
 
+def _connect(pairs: DataFrame, edges: DataFrame | None, rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with links among ``pairs``, and the labels of the components that all of ``pairs`` would give.
+
+    Each node is checked with the least of its partners, then the pairs that this leaves apart are.
+    """
+    tried = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    found = checked(tried, rows, nodes, words, percent)
+    edges = edges.union(found) if edges is not None else found
+    labels = components(edges)
+    left = written(_apart(pairs.join(tried, ["a", "b"], "left_anti"), labels), "left")
+    if left.limit(1).count():
+        edges = edges.union(checked(left, rows, nodes, words, percent))
+        labels = components(edges)
+    return edges, labels
+
+
 def classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id`` of every document."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -412,25 +435,19 @@ def classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str =
     own = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
     both = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "bits_a", "bits_b")
     pairs = written(map_arrow(both, _bounded(percent), "a long, b long"), "pairs")
-    # each node with the least of its partners, then those pairs that this leaves apart
-    tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = checked(tried, rows, nodes, words, percent)
-    labels = components(edges)
-    left = written(_apart(pairs.join(tried, ["a", "b"], "left_anti"), labels), "left")
-    if left.limit(1).count():
-        edges = edges.union(checked(left, rows, nodes, words, percent))
-        labels = components(edges)
+    edges, labels = _connect(pairs, None, rows, nodes, words, percent)
     # buckets of several components
     few = labels.count() <= BROADCAST_IDS
     members = met.filter("bucket IS NOT NULL").select("bucket", "node")
     members = members.join(F.broadcast(labels) if few else labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     several = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
     several = written(members.join(several, "bucket", "left_semi").distinct(), "several")
-    dealt = several.join(nodes, "node").select("bucket", "node", "label", "n", "bits").repartition(n, "bucket").sortWithinPartitions("bucket")
+    lists = several.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+    dealt = several.join(nodes, "node").join(lists, "node").select("bucket", "node", "label", "n", "bits", "buckets").repartition(n, "bucket").sortWithinPartitions("bucket")
     rest = map_arrow(dealt, _mixed(percent), "a long, b long").distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        labels = components(edges.union(checked(rest, rows, nodes, words, percent)))
+        _, labels = _connect(rest, edges, rows, nodes, words, percent)
     low = nodes.join(labels, "node").groupBy("label").agg(F.min("doc").alias("component"))
     named_low = labels.join(low, "label").select("node", "component")
     own = nodes.join(named_low, "node", "left").select("node", F.coalesce("component", "doc").alias("component"))
