@@ -291,17 +291,12 @@ def _bounded(percent: int):
 
 
 def _mixed(percent: int):
-    """Pairs that may link of different labels in one bucket, from rows sorted by bucket.
+    """Pairs that may link of different labels in one bucket, from rows sorted by bucket."""
 
-    Each node has the list of its buckets, and a pair is made only in the
-    first of those that both are in.
-    """
-
-    def pairs(bucket: int, rows: list[tuple[int, int, int, bytes, list[int]]]) -> Iterator[pa.RecordBatch]:
+    def pairs(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         node, label, size = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
         words = min(len(r[3]) for r in rows) // 8
         bits = np.stack([folded(r[3], words) for r in rows])
-        lists = [set(r[4]) for r in rows]
         kinds, count = np.unique(label, return_counts=True)
         few = np.flatnonzero(label != kinds[count.argmax()])
         step = max(1, (1 << 21) // bits.size)
@@ -311,9 +306,7 @@ def _mixed(percent: int):
             ok = (apart * (100 + percent) <= (100 - percent) * (size[own][:, None] + size[None])) & (label[own][:, None] != label[None])
             x, y = np.nonzero(ok)
             if len(x):
-                x = own[x]
-                least = np.array([min(lists[i] & lists[j]) == bucket for i, j in zip(x.tolist(), y.tolist(), strict=True)], dtype=bool)
-                u, v = node[x[least]], node[y[least]]
+                u, v = node[own[x]], node[y]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,12 +314,12 @@ def _mixed(percent: int):
         for batch in batches:
             for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != bucket and rows:
-                    yield from pairs(bucket, rows)
+                    yield from pairs(rows)
                     rows = []
                 bucket = k
                 rows.append(row)
         if rows:
-            yield from pairs(bucket, rows)
+            yield from pairs(rows)
 
     return run
 
@@ -442,9 +435,9 @@ def classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str =
     members = members.join(F.broadcast(labels) if few else labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     several = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
     several = written(members.join(several, "bucket", "left_semi").distinct(), "several")
-    lists = several.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
-    dealt = several.join(nodes, "node").join(lists, "node").select("bucket", "node", "label", "n", "bits", "buckets").repartition(n, "bucket").sortWithinPartitions("bucket")
-    rest = map_arrow(dealt, _mixed(percent), "a long, b long").distinct()
+    dealt = several.join(nodes, "node").select("bucket", "node", "label", "n", "bits").repartition(n, "bucket").sortWithinPartitions("bucket")
+    # a pair may come from many buckets: it is made one before it meets the others
+    rest = written(map_arrow(dealt, _mixed(percent), "a long, b long").distinct(), "found")
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
         _, labels = _connect(rest, edges, rows, nodes, words, percent)
