@@ -4,17 +4,21 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a
 document with a smaller id. All such strings are found, without comparing all
 positions of the corpus:
 
-1. A string's anchor is the least hash among its q-grams. Neighbouring strings
+1. Of equal texts only that of the least id goes on; the others are repeats
+   from end to end.
+2. A string's anchor is the least hash among its q-grams. Neighbouring strings
    with one anchor make a run, so a document has a run about every 15 bytes,
-   and equal strings have equal anchors.
-2. Runs meet by anchor. Those whose anchor is in one document only are done.
-3. The others meet again with their bytes. Equal runs need one comparison:
-   all but those of the least id are repeats. What is left is suffix-sorted:
-   initial buckets by q-gram, refined by sorting on the bucket pointers of
-   later offsets, each pass using the pointers that the one before it made
-   (depths 8, 16, 32, 50). Singletons leave the sort. Strings in one bucket at
-   the last depth are equal, and those of larger ids than the bucket's least
-   are repeats.
+   and equal strings have equal anchors. Anchors travel in packets, by bucket,
+   as 32 bits beside a document's place in the packet. An anchor that several
+   documents of a batch have is known to be shared there, so a bucket gets it
+   once a batch, however common it is. Anchors of one document only are done.
+3. The documents make the runs of their shared anchors anew, and these meet
+   with their bytes. Equal runs need one comparison: all but those of the least
+   id are repeats. What is left is suffix-sorted: initial buckets by q-gram,
+   refined by sorting on the bucket pointers of later offsets, each pass using
+   the pointers that the one before it made (depths 8, 16, 32, 50). Singletons
+   leave the sort. Strings in one bucket at the last depth are equal, and those
+   of larger ids than the bucket's least are repeats.
 4. The repeats go back to their documents as spans.
 
 Defined results: a null text counts as empty; texts shorter than ``LENGTH``
@@ -35,12 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import map_arrow, mix64, pieces, text_or_empty
+from rasterloom.llm.common import map_arrow, mix64, partitions, pieces, text_or_empty, written
 
 LENGTH = 50
 Q = 20
 #: Bytes of runs that are sorted at once; one anchor's runs stay together.
 CHUNK = 2 << 20
+#: Bytes of text whose anchors make one set of packets.
+PACKED = 8 << 20
 
 
 def qgram_hashes(data: np.ndarray, q: int = Q) -> np.ndarray:
@@ -137,29 +143,113 @@ def union(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _NULL_ID = 2**63 - 1
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", 4 << 20):
-        keys, out = batch.column(0).to_numpy(), []
-        for i, t in enumerate(batch.column(1).cast(pa.binary())):
-            out.append((np.full(0, 0), *runs(np.frombuffer(t.as_buffer(), dtype=np.uint8)), i))
-        if out:
-            h, s, n = (np.concatenate([x[j] for x in out]) for j in (1, 2, 3))
-            doc = np.repeat(keys, [len(x[1]) for x in out])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32())], names=["h", "doc", "s", "n"])
+def _split(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 32-bit key of anchors; equal keys of a bucket may be different anchors, at the cost of a needless run."""
+    u = h.view(np.uint64)
+    return ((u >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), u.astype(np.uint32)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["h", "bytes", "doc", "s"]
-    for batch in pieces(batches, "text", 1 << 20):
-        h, ctx, doc, s = [], [], [], []
-        for k, t, found in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
-            v = found.values.flatten()
-            hs, ss, ns = v[0].to_numpy(), v[1].to_numpy(), v[2].to_numpy()
-            h.append(hs)
-            s.append(ss)
-            doc.append(np.full(len(hs), k))
-            ctx += [t[a : a + b + LENGTH - 1] for a, b in zip(ss.tolist(), ns.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h), pa.int64()), pa.array(ctx, pa.binary()), pa.array(np.concatenate(doc), pa.int64()), pa.array(np.concatenate(s), pa.int32())], names=names)
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where equal neighbours begin, and how many there are."""
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return first, np.diff(np.concatenate((first, [len(values)])))
+
+
+_PACKET = "deal long, bucket int, known boolean, docs binary, at binary, keys binary"
+
+
+def _packets(buckets: int):
+    """Packets of anchors: keys (4 bytes) and places (2 bytes) in a list of documents (8 bytes)."""
+
+    def packet(bucket: int, known: bool, docs: np.ndarray, keys: np.ndarray) -> tuple[int, int, bool, bytes, bytes, bytes]:
+        named, at = np.unique(docs, return_inverse=True)
+        return (bucket + int(named[0])) % buckets if known else bucket, bucket, known, named.tobytes(), at.astype(np.uint16).tobytes(), keys.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in pieces(batches, "text", PACKED):
+            for start in range(0, big.num_rows, 1 << 16):
+                batch = big.slice(start, 1 << 16)
+                found = [runs(np.frombuffer(t.as_buffer(), dtype=np.uint8))[0] for t in batch.column(1).cast(pa.binary())]
+                h = np.concatenate(found)
+                if not len(h):
+                    continue
+                doc = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+                bucket, key = _split(h, buckets)
+                name = bucket << np.int64(32) | key
+                order = np.lexsort((doc, name))
+                name, doc = name[order], doc[order]
+                new = np.concatenate(([True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])))
+                name, doc = name[new], doc[new]
+                first, size = _groups(name)
+                several = np.repeat(size > 1, size)
+                sent = name[first] >> 32
+                edges, length = _groups(sent)
+                key = name.astype(np.uint32)
+                out = [packet(int(sent[a]), False, doc[first[a : a + n]], key[first[a : a + n]]) for a, n in zip(edges.tolist(), length.tolist(), strict=True)]
+                # what the batch itself knows needs no meeting and is dealt over all tasks
+                name, doc, key = name[several], doc[several], key[several]
+                if len(name):
+                    edges, length = _groups(name >> 32)
+                    out += [packet(int(name[a] >> 32), True, doc[a : a + n], key[a : a + n]) for a, n in zip(edges.tolist(), length.tolist(), strict=True)]
+                cols = list(zip(*out, strict=True))
+                kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["deal", "bucket", "known", "docs", "at", "keys"])
+
+    return run
+
+
+_REPLY = "doc long, bucket int, keys binary"
+
+
+def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document its anchors that are in others too; buckets come one after the other."""
+    waiting: list[tuple[np.ndarray, np.ndarray, bool]] = []
+    last = None
+
+    def close(bucket: int) -> pa.RecordBatch:
+        key, doc = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
+        known = np.repeat([w[2] for w in waiting], [len(w[0]) for w in waiting])
+        waiting.clear()
+        order = np.lexsort((doc, key))
+        key, doc, known = key[order], doc[order], known[order]
+        first, size = _groups(key)
+        least, most = doc[first], doc[first + size - 1]
+        shared = known | np.repeat(least < most, size)
+        key, doc = key[shared], doc[shared]
+        order = np.argsort(doc, kind="stable")
+        key, doc = key[order], doc[order]
+        first, size = _groups(doc) if len(doc) else (doc, doc)
+        keys = [key[a : a + n].tobytes() for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(doc[first] if len(doc) else doc, pa.int64()), pa.array(np.full(len(keys), bucket), pa.int32()), pa.array(keys, pa.binary())], names=["doc", "bucket", "keys"])
+
+    for batch in batches:
+        for bucket, known, docs, at, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if waiting and bucket != last:
+                yield close(last)
+            last = bucket
+            waiting.append((np.frombuffer(keys, dtype=np.uint32), np.frombuffer(docs, dtype=np.int64)[np.frombuffer(at, dtype=np.uint16)], known))
+    if waiting:
+        yield close(last)
+
+
+def _contexts(buckets: int):
+    """The runs, with their bytes, of each document's shared anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 1 << 20):
+            h, ctx, doc, s = [], [], [], []
+            for k, t, found in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                wanted = np.concatenate([np.frombuffer(f["keys"], dtype=np.uint32).astype(np.int64) | np.int64(f["bucket"]) << np.int64(32) for f in found])
+                hs, ss, ns = runs(np.frombuffer(t, dtype=np.uint8))
+                bucket, key = _split(hs, buckets)
+                take = np.flatnonzero(np.isin(bucket << np.int64(32) | key, wanted))
+                h.append(hs[take])
+                s.append(ss[take])
+                doc.append(np.full(len(take), k))
+                ctx += [t[a : a + b + LENGTH - 1] for a, b in zip(ss[take].tolist(), ns[take].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h), pa.int64()), pa.array(ctx, pa.binary()), pa.array(np.concatenate(doc), pa.int64()), pa.array(np.concatenate(s), pa.int32())], names=["h", "bytes", "doc", "s"])
+
+    return run
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,15 +302,21 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, spans``: for documents with repeats, their byte spans (``a`` to ``b``, not merged)."""
-    rows = _rows(docs, id_col, text_col)
-    anchors = map_arrow(rows, _anchors, "h long, doc long, s int, n int")
-    by_anchor = W.partitionBy("h")
-    shared = anchors.withColumn("lo", F.min("doc").over(by_anchor)).withColumn("hi", F.max("doc").over(by_anchor)).filter("lo < hi")
-    by_doc = shared.groupBy("doc").agg(F.collect_list(F.struct("h", "s", "n")).alias("found"))
-    met = rows.join(by_doc, "doc").select("doc", "text", "found")
-    contexts = map_arrow(met, _contexts, "h long, bytes binary, doc long, s int")
+def firsts(rows: DataFrame) -> DataFrame:
+    """``doc, first``: documents with the least id among those of an equal text."""
+    text = F.unhex(F.md5(F.col("text").cast("binary")))
+    least = rows.select("doc", text.alias("key")).groupBy("key").agg(F.min("doc").alias("doc"))
+    return written(least.select("doc").distinct().withColumn("first", F.lit(True)), "firsts")
+
+
+def repeated_spans(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """``doc, spans``: byte spans (``a`` to ``b``, not merged) of the ``first`` documents' repeats."""
+    buckets = partitions(rows.sparkSession)
+    own = rows.join(first, "doc", "left_semi")
+    packets = map_arrow(own, _packets(buckets), _PACKET).repartition(buckets, "deal").sortWithinPartitions("bucket").drop("deal")
+    by_doc = map_arrow(packets, _replies, _REPLY).groupBy("doc").agg(F.collect_list(F.struct("bucket", "keys")).alias("found"))
+    met = own.join(by_doc, "doc").select("doc", "text", "found")
+    contexts = map_arrow(met, _contexts(buckets), "h long, bytes binary, doc long, s int")
     sorted_runs = contexts.repartition("h").sortWithinPartitions("h", "bytes", "doc", "s")
     return map_arrow(sorted_runs, _found, "doc long, a int, b int").groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
@@ -229,7 +325,10 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), text_or_empty(text_col).alias("text"))
 
 
-def _spans(value) -> tuple[np.ndarray, np.ndarray]:
+def _spans(value, first: bool, size: int) -> tuple[np.ndarray, np.ndarray]:
+    if not first:  # a smaller id has the whole text
+        whole = np.arange(1 if size >= LENGTH else 0)
+        return whole * 0, whole * 0 + size
     if not value.is_valid:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     a, b = (x.to_numpy().astype(np.int64) for x in value.values.flatten())
@@ -242,8 +341,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 4 << 20):
             n, gone, count, sha = [], [], [], []
-            for t, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
-                first, end = _spans(spans)
+            for t, spans, own in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                first, end = _spans(spans, own, len(t))
                 digest, at = hashlib.sha256(), 0
                 for a, b in zip(first.tolist(), end.tolist(), strict=True):
                     digest.update(t[at:a])
@@ -256,7 +355,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             keys = pa.array([None if k == _NULL_ID else k for k in batch.column(0).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([keys, *(pa.array(x, pa.int64()) for x in (n, gone, count)), pa.array(sha, pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _rows(docs, id_col, text_col).join(repeated_spans(docs, id_col, text_col), "doc", "left").select("doc", "text", "spans")
+    rows = _rows(docs, id_col, text_col)
+    own = firsts(rows)
+    rows = rows.join(own, "doc", "left").join(repeated_spans(rows, own), "doc", "left").select("doc", "text", "spans", "first")
     return map_arrow(rows, run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -266,13 +367,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A character that a span cuts in two stays whole, so texts remain valid.
     """
 
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, spans: pd.Series, own: pd.Series) -> pd.Series:
         out = []
-        for t, s in zip(texts, spans, strict=True):
+        for t, s, first in zip(texts, spans, own, strict=True):
+            data = b"" if t is None else t.encode("utf-8", "surrogatepass")
+            if not first and len(data) >= LENGTH:  # a smaller id has the whole text
+                out.append("")
+                continue
             if s is None or not len(s) or t is None:
                 out.append(t)
                 continue
-            data = t.encode("utf-8", "surrogatepass")
             pairs = np.array([(x["a"], x["b"]) for x in s], dtype=np.int64)
             parts, at = [], 0
             for a, b in zip(*(x.tolist() for x in union(pairs[:, 0], pairs[:, 1])), strict=True):
@@ -285,7 +389,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append(b"".join([*parts, data[at:]]).decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype=object)
 
-    spans = repeated_spans(docs, id_col, text_col).withColumnRenamed("doc", "__doc").withColumnRenamed("spans", "__spans")
+    rows = _rows(docs, id_col, text_col)
+    own = firsts(rows)
+    spans = repeated_spans(rows, own).select(F.col("doc").alias("__key"), F.col("spans").alias("__spans"))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
-    joined = docs.withColumn("__key", key).join(spans, F.col("__key") == F.col("__doc"), "left")
-    return joined.withColumn(text_col, F.pandas_udf(cut, "string")(text_col, "__spans")).select(*docs.columns)
+    joined = docs.withColumn("__key", key).join(own.select(F.col("doc").alias("__key"), F.col("first").alias("__first")), "__key", "left").join(spans, "__key", "left")
+    return joined.withColumn(text_col, F.pandas_udf(cut, "string")(text_col, "__spans", F.coalesce("__first", F.lit(False)))).select(*docs.columns)
