@@ -312,7 +312,7 @@ def firsts(rows: DataFrame) -> DataFrame:
 def repeated_spans(rows: DataFrame, first: DataFrame) -> DataFrame:
     """``doc, spans``: byte spans (``a`` to ``b``, not merged) of the ``first`` documents' repeats."""
     buckets = partitions(rows.sparkSession)
-    own = rows.join(first, "doc", "left_semi")
+    own = rows.join(first.hint("shuffle_hash"), "doc", "left_semi")
     packets = map_arrow(own, _packets(buckets), _PACKET).repartition(buckets, "deal").sortWithinPartitions("bucket").drop("deal")
     by_doc = map_arrow(packets, _replies, _REPLY).groupBy("doc").agg(F.collect_list(F.struct("bucket", "keys")).alias("found"))
     met = own.join(by_doc, "doc").select("doc", "text", "found")
@@ -357,7 +357,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     rows = _rows(docs, id_col, text_col)
     own = firsts(rows)
-    rows = rows.join(own, "doc", "left").join(repeated_spans(rows, own), "doc", "left").select("doc", "text", "spans", "first")
+    rows = rows.join(own.hint("shuffle_hash"), "doc", "left").join(repeated_spans(rows, own), "doc", "left").select("doc", "text", "spans", "first")
     return map_arrow(rows, run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
