@@ -12,6 +12,7 @@ from rasterloom.operators import filters as F
 from rasterloom.operators import quality as Q
 from rasterloom.operators import resample as S
 from rasterloom.operators.relation import KEY, apply, blur, box, extreme, laplacian3, sobel, sub
+from rasterloom.plans import settings as P
 from rasterloom.sources import duck, rasters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,15 +98,39 @@ UNREGISTERED: dict[str, tuple[str, Callable[[str], str]]] = {
 }
 
 
+_IN_FORCE = sub(P.overlay("src"))
+_STAGES = "SELECT p_brand AS input, p_type AS stage, CAST(sum(p_size) AS BIGINT) AS ms FROM {t} GROUP BY p_brand, p_type"
+_TOTALS = "(SELECT p_brand AS input, CAST(sum(p_size) AS BIGINT) AS ms FROM {t} WHERE p_size % 2 = {odd} GROUP BY p_brand)"
+
+#: Name -> a relation made of the table ``part``, as ``src``, and a SELECT over it.
+SETTINGS: dict[str, tuple[str, str]] = {
+    "config_overlay": (P.REQUESTS, P.overlay("src")),
+    "config_validate": (P.REQUESTS, P.violations(_IN_FORCE)),
+    "memory_guard": (P.REQUESTS, P.guard(_IN_FORCE)),
+    "model_choice": (P.REQUESTS, P.model_choice(_IN_FORCE)),
+    "style_list": ("SELECT 1 AS one FROM {t}", P.styles()),
+    "output_name": ("SELECT 'in/' || p_type || '.d/' || p_partkey || CASE p_size % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.x.jpg' ELSE '' END AS path FROM {t}", P.output_name("src")),
+    "slowest_stage": (_STAGES, P.slowest("src")),
+    "bench_regression": ("SELECT p_brand, p_size FROM {t}", P.regressions(_TOTALS.format(t="src", odd=1), _TOTALS.format(t="(SELECT * FROM src WHERE p_brand <> 'Brand#11')", odd=0))),
+}
+
+
+def _over_part(relation: str, select: str) -> Query:
+    def run(spark, sf_dir):
+        return spark.sql(f"WITH src AS ({relation.format(t='{part}')}) {select}", part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+    return run
+
+
 def _query(source: str, operator: Callable[[str], str]) -> Query:
     return lambda spark, sf_dir: apply(_SOURCES[source][0](spark, sf_dir), operator)
 
 
 def queries() -> dict[str, Query]:
     """Name and function of each query."""
-    return {name: _query(*x) for name, x in OPERATORS.items()}
+    return {name: _query(*x) for name, x in OPERATORS.items()} | {name: _over_part(*x) for name, x in SETTINGS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by the query's name."""
-    return {name: f"WITH src AS MATERIALIZED ({_SOURCES[s][1]}) {op('src')}" for name, (s, op) in OPERATORS.items()}
+    return {name: f"WITH src AS MATERIALIZED ({_SOURCES[s][1]}) {op('src')}" for name, (s, op) in OPERATORS.items()} | {name: f"WITH src AS ({relation.format(t='part')}) {select}" for name, (relation, select) in SETTINGS.items()}

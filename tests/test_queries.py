@@ -6,13 +6,13 @@ import pytest
 from rasterloom import catalog
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["haar_noise_mad", "jpeg_blocking", "sobel", "erode", "white_balance", "pyr_down", "lanczos_easu"]
+NAMES = ["haar_noise_mad", "jpeg_blocking", "sobel", "erode", "white_balance", "pyr_down", "lanczos_easu", *catalog.SETTINGS]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "lineitem"):
+    for t in ("embeddings", "lineitem", "part"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = catalog.queries()[name](spark, SF)
     columns = sorted(df.columns)
