@@ -189,6 +189,11 @@ def violations(t: str) -> str:
     return f"SELECT request_id, trim({found}) AS wrong FROM {t} z"
 
 
+def _nearest(v: str) -> str:
+    """To the nearest whole number, halves to the even one."""
+    return f"(CAST(floor({v} + 0.5e0) AS BIGINT) - CASE WHEN {v} - floor({v}) = 0.5e0 AND CAST(floor({v}) AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END)"
+
+
 def guard(t: str, mode: str = "hybrid") -> str:
     """Whether a request's pixels fit in ``max_megapixels``, from sizes alone.
 
@@ -196,7 +201,7 @@ def guard(t: str, mode: str = "hybrid") -> str:
     way (scale up to 2) is taken, so those pixels count as well.
     """
     native = "scale > 1 AND scale < 4 AND NOT (enable_fast_2x AND scale <= 2)" if mode in ("neural", "hybrid") else "FALSE"
-    size = f"SELECT request_id, h * w AS in_px, CAST(floor(h * scale) AS BIGINT) * CAST(floor(w * scale) AS BIGINT) AS out_px, CASE WHEN {native} THEN h * w * 16 ELSE 0 END AS native_px, CAST(floor(max_megapixels * 1e6) AS BIGINT) AS most FROM {t} z"
+    size = f"SELECT request_id, h * w AS in_px, {_nearest('h * scale')} * {_nearest('w * scale')} AS out_px, CASE WHEN {native} THEN h * w * 16 ELSE 0 END AS native_px, CAST(floor(max_megapixels * 1e6) AS BIGINT) AS most FROM {t} z"
     return f"SELECT request_id, in_px, out_px, CAST(native_px AS BIGINT) AS native_px, in_px <= most AND out_px <= most AND native_px <= most AS fits FROM ({size}) s"
 
 

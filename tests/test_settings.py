@@ -28,9 +28,9 @@ def test_overlay_order(spark):
 
 
 def test_guard(spark):
-    in_force(spark, (1, None, "photo", None, 1000, 2000, 2.0, None, None, True), (2, None, "photo", None, 2000, 2000, 2.0, None, None, False), (3, None, "photo", None, 7000, 7000, 1.0, None, None, None))
+    in_force(spark, (1, None, "photo", None, 1000, 2000, 2.0, None, None, True), (2, None, "photo", None, 2000, 2000, 2.0, None, None, False), (3, None, "photo", None, 7000, 7000, 1.0, None, None, None), (4, None, "photo", None, 5, 3, 0.5, None, None, None))
     got = {r.request_id: (r.in_px, r.out_px, r.native_px, r.fits) for r in spark.sql(P.guard(sub(P.overlay("asked")))).collect()}
-    assert got == {1: (2_000_000, 8_000_000, 0, True), 2: (4_000_000, 16_000_000, 64_000_000, False), 3: (49_000_000, 49_000_000, 0, False)}
+    assert got == {1: (2_000_000, 8_000_000, 0, True), 2: (4_000_000, 16_000_000, 64_000_000, False), 3: (49_000_000, 49_000_000, 0, False), 4: (15, 4, 0, True)}
 
 
 def test_png_round_trip_and_scan(spark, tmp_path):
