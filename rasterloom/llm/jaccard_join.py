@@ -290,23 +290,49 @@ def _bounded(percent: int):
     return run
 
 
+#: Least buckets that a node names, and pairs that are compared by them at once.
+HEADS, AT_ONCE = 16, 1 << 15
+_LAST = 2**63 - 1
+
+
+def _met_before(heads: np.ndarray, x: np.ndarray, y: np.ndarray, bucket: int) -> np.ndarray:
+    """Which pairs ``x, y`` both name a bucket below this one, so that they are made there."""
+    out = [np.zeros(0, dtype=bool)]
+    for i in range(0, len(x), AT_ONCE):
+        u, v = heads[x[i : i + AT_ONCE]], heads[y[i : i + AT_ONCE]]
+        u = np.where(u < bucket, u, _LAST)
+        out.append(((u[:, :, None] == v[:, None, :]) & (u[:, :, None] < _LAST)).any(axis=(1, 2)))
+    return np.concatenate(out)
+
+
 def _mixed(percent: int):
-    """Pairs that may link of different labels in one bucket, from rows sorted by bucket."""
+    """Pairs that may link of different labels in one bucket, from rows sorted by bucket.
+
+    Each node names its least buckets. A pair is left to the least bucket that
+    both name; pairs whose shared buckets neither names so come from each of them.
+    """
 
-    def pairs(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def pairs(bucket: int, rows: list[tuple[int, int, int, bytes, list[int]]]) -> Iterator[pa.RecordBatch]:
+        heads = np.array([r[4] + [_LAST] * (HEADS - len(r[4])) for r in rows], dtype=np.int64)
         node, label, size = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
         words = min(len(r[3]) for r in rows) // 8
         bits = np.stack([folded(r[3], words) for r in rows])
         kinds, count = np.unique(label, return_counts=True)
-        few = np.flatnonzero(label != kinds[count.argmax()])
+        rare = label != kinds[count.argmax()]
+        few = np.flatnonzero(rare)
         step = max(1, (1 << 21) // bits.size)
         for i in range(0, len(few), step):
             own = few[i : i + step]
             apart = np.bitwise_count(bits[own][:, None, :] ^ bits[None]).sum(axis=2, dtype=np.int64)
             ok = (apart * (100 + percent) <= (100 - percent) * (size[own][:, None] + size[None])) & (label[own][:, None] != label[None])
+            # of two rare nodes one leads
+            ok &= ~rare[None] | (node[own][:, None] < node[None])
             x, y = np.nonzero(ok)
+            x = own[x]
+            new = ~_met_before(heads, x, y, bucket)
+            x, y = x[new], y[new]
             if len(x):
-                u, v = node[own[x]], node[y]
+                u, v = node[x], node[y]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,12 +340,12 @@ def _mixed(percent: int):
         for batch in batches:
             for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != bucket and rows:
-                    yield from pairs(rows)
+                    yield from pairs(bucket, rows)
                     rows = []
                 bucket = k
                 rows.append(row)
         if rows:
-            yield from pairs(rows)
+            yield from pairs(bucket, rows)
 
     return run
 
@@ -435,8 +461,9 @@ def classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str =
     members = members.join(F.broadcast(labels) if few else labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     several = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
     several = written(members.join(several, "bucket", "left_semi").distinct(), "several")
-    dealt = several.join(nodes, "node").select("bucket", "node", "label", "n", "bits").repartition(n, "bucket").sortWithinPartitions("bucket")
-    # a pair may come from many buckets: it is made one before it meets the others
+    heads = several.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("bucket")), 1, HEADS).alias("heads"))
+    dealt = several.join(nodes, "node").join(heads, "node").select("bucket", "node", "label", "n", "bits", "heads").repartition(n, "bucket").sortWithinPartitions("bucket")
+    # a pair may still come from several buckets: it is made one before it meets the others
     rest = written(map_arrow(dealt, _mixed(percent), "a long, b long").distinct(), "found")
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,21 @@ def test_pipeline_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_mixed_buckets_make_each_pair():
+    rng = np.random.default_rng(3)
+    bits = [rng.integers(0, 256, 8, dtype=np.uint8).tobytes() for _ in range(40)]
+    buckets = {int(k): sorted(set(rng.choice(40, 12).tolist())) for k in rng.integers(-(2**62), 2**62, 60)}
+    for spread in (1, 40):  # one family of many labels, and all apart
+        rows = []
+        for k in sorted(buckets):
+            for node in buckets[k]:
+                heads = sorted(b for b, nodes in buckets.items() if node in nodes)[: jaccard_join.HEADS]
+                rows.append((k, node, node % (spread + 1), 20, bits[node], heads))
+        cols = list(zip(*rows, strict=True))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "node", "label", "n", "bits", "heads"])
+        got = [p for b in jaccard_join._mixed(10)([batch]) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        want = {(a, b) for nodes in buckets.values() for a in nodes for b in nodes if a < b and a % (spread + 1) != b % (spread + 1) and jaccard_join.may_link(bits[a], bits[b], 40, 10)}
+        assert want and set(got) == want and len(got) < 1.2 * len(want)
