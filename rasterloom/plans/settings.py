@@ -223,7 +223,7 @@ def output_name(t: str) -> str:
 def slowest(t: str) -> str:
     """The stage that took longest of each input, of equal ones the first by name; and all stages' sum."""
     return f"""SELECT input, stage, ms, total FROM (SELECT *, row_number() OVER (PARTITION BY input ORDER BY ms DESC, stage) AS place,
-        sum(ms) OVER (PARTITION BY input) AS total FROM {t} z) q WHERE place = 1"""
+        CAST(sum(ms) OVER (PARTITION BY input) AS BIGINT) AS total FROM {t} z) q WHERE place = 1"""
 
 
 def regressions(now: str, before: str, tolerance: float = 0.15) -> str:
