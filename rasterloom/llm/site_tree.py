@@ -52,6 +52,7 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 
 MIN_PAGES = 8
 LOW = 0.2
@@ -80,14 +81,10 @@ def _start(source: str, tag: str) -> tuple[str, bool]:
 def parse(source: str) -> Node:
     """The element tree of a page; open elements end where their parents do."""
     root = at = Node("", "", None, False)
-    raw = ""
-    for m in _TOKEN.finditer(source):
-        s = m.group()
-        if raw:
-            # raw text runs to its own end tag
-            if not (s.startswith("</") and (n := _NAME.match(s)) and n.group(1).lower() == raw):
-                at.parts.append(s)
-                continue
+    place, size = 0, len(source)
+    while place < size:
+        m = _TOKEN.match(source, place)
+        s, place = m.group(), m.end()
         if s[0] != "<" or s == "<":
             at.parts.append(s)
             continue
@@ -100,7 +97,7 @@ def parse(source: str) -> Node:
             while up.parent is not None and up.tag != tag:
                 up = up.parent
             if up.parent is not None:
-                at, raw = up.parent, ""
+                at = up.parent
             continue
         if tag in ENDS_P or tag in CLOSES:
             ends = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
@@ -118,7 +115,11 @@ def parse(source: str) -> Node:
         at.parts.append(node)
         if tag not in VOID and not s.endswith("/>"):
             at = node
-            raw = tag if tag in RAW else ""
+            if tag in RAW:  # raw text runs to its own end tag, whatever stands in it
+                end = _END[tag].search(source, place)
+                stop = end.start() if end else size
+                node.parts.append(source[place:stop])
+                place = stop
     return root
 
 

@@ -106,6 +106,15 @@ def test_site_tree(spark, odd):
     assert texts == {f"text {i}" for i in range(12)}
 
 
+def test_site_tree_raw_text_ends_at_its_own_tag():
+    scripts = ["for(i=0;i<n;i++){f(i);}", "if(a<b)g('</p>')", 'var t="<a href=\'x";', "x<!--y"]
+    for s in scripts:
+        for end in ("</script>", "</SCRIPT >", "</script\n>"):
+            page = f"<html><head><script>{s}{end}<style>a<b{{}}</style></head><body><article><p>body</p><script>{s}{end}<p>more</p></article>"
+            assert site_tree.main_text(site_tree.parse(page)) == "body more"
+    assert site_tree.main_text(site_tree.parse("<p>seen</p><script>i<n; never closed <p>no</p>")) == "seen"
+
+
 def test_bpe_against_library(odd, empty):
     from tokenizers import Tokenizer
 
