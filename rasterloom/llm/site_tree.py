@@ -5,14 +5,16 @@ path of tags and classes, whatever its position among its siblings. A node's
 presentation importance is the entropy of the child sequences it has on the
 host's pages, its content importance the entropy of its texts. Branches of low
 importance (the same links, the same notice on every page) are removed from
-each page; what is left in blocks is the page's main text.
+each page that has the repeated text there; what is left in blocks is the
+page's main text.
 
-Entropy alone says nothing about a host with few pages, and an article copied
-to many pages would look like a notice. So element semantics come first, as
-the prior importance of a branch: ``nav``, ``footer``, ``aside``, forms,
-scripts and class names of menus, adverts, notices or comments have none; a
-page's ``article`` or ``main`` is kept whole apart from such branches. Pages
-without either are decided by the tree.
+Entropy alone says nothing about a host with few pages, so element semantics
+are the prior importance of a branch: ``nav``, ``footer``, ``aside``, forms,
+scripts and class names of menus, adverts, notices or comments have none, and
+a page's ``article`` or ``main`` stands for the page, unless its articles are
+mere teasers. Inside and outside of them the tree decides alike. An article
+copied to many pages would look like a notice, so pages of one main text count
+once.
 
 Defined results: null or empty html gives an empty text; broken markup is read
 as far as it goes; a null url is a host of its own; repeated rows give repeated
@@ -27,10 +29,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import map_arrow, pieces, text_or_empty
+from rasterloom.llm.common import map_arrow, pieces, text_or_empty, written
 
 #: Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -56,6 +58,7 @@ _END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 
 MIN_PAGES = 8
 LOW = 0.2
+SHARED = 0.05
 
 
 class Node:
@@ -141,28 +144,47 @@ def _own_text(node: Node) -> str:
     return _SPACE.sub(" ", "".join(out)).strip()
 
 
-def styles(root: Node) -> dict[str, tuple[str, str]]:
-    """For each path of a page a digest of its nodes' children and one of their texts."""
-    shapes: dict[str, list[str]] = {}
+def _digest(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+
+def _texts(root: Node, paths: frozenset[str] | set[str] | dict | None = None) -> dict[str, str]:
+    """For each path of a page (or each of ``paths``) its nodes' texts; noise is left out."""
     texts: dict[str, list[str]] = {}
     todo = [root]
     while todo:
         node = todo.pop()
+        if node.noise:
+            continue
+        if node.tag not in INLINE and (paths is None or node.path in paths):
+            texts.setdefault(node.path, []).append(_own_text(node))
+        todo += reversed([p for p in node.parts if not isinstance(p, str)])
+    return {p: "\n".join(t) if any(t) else "" for p, t in texts.items()}
+
+
+def styles(root: Node) -> tuple[str, dict[str, tuple[str, str]]]:
+    """A digest of the page's main text, and for each path digests of its nodes' children and texts."""
+    shapes: dict[str, list[str]] = {}
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.noise:
+            continue
         kids = [p for p in node.parts if not isinstance(p, str)]
         if node.tag not in INLINE:
             shapes.setdefault(node.path, []).append(" ".join(dict.fromkeys(k.style for k in kids)))
-            texts.setdefault(node.path, []).append(_own_text(node))
-        todo += reversed([k for k in kids if k.tag not in RAW])
-    digest = lambda x: hashlib.md5("\n".join(x).encode("utf-8", "surrogatepass")).hexdigest()[:16]
-    return {p: (digest(shapes[p]), digest(texts[p]) if any(texts[p]) else "") for p in shapes}
+        todo += reversed(kids)
+    texts = _texts(root)
+    return _digest(main_text(root)), {p: (_digest("\n".join(shapes[p])), _digest(texts[p]) if texts[p] else "") for p in shapes}
 
 
-def main_text(root: Node, low: frozenset[str] = frozenset()) -> str:
-    """The blocks of a page in order, without noise and branches in ``low``.
+def main_text(root: Node, low: dict[str, frozenset[str]] | None = None) -> str:
+    """The blocks of a page in order, without noise and without repeated texts of low branches.
 
-    The blocks of ``article`` or ``main`` are taken if there are any.
+    ``low`` has the digests of the repeated texts of each low path: a page
+    whose text there is another one keeps it.
     """
-    kept = _regions(root)
+    gone = {p for p, t in _texts(root, low).items() if _digest(t) in low[p]} if low else set()
     blocks: list[str] = []
     line: list[str] = []
 
@@ -172,29 +194,50 @@ def main_text(root: Node, low: frozenset[str] = frozenset()) -> str:
             blocks.append(text)
         line.clear()
 
-    for top in kept or [root]:
-        stack: list[Node | str | None] = [top]
+    for top in _regions(root):
+        # with each part, whether the text around it goes
+        stack: list[tuple[Node | str | None, bool]] = [(top, False)]
         while stack:
-            p = stack.pop()
+            p, out = stack.pop()
             if p is None:
                 close()
             elif isinstance(p, str):
-                line.append(p)
-            elif p.noise or (not kept and p.path in low):
+                if not out:
+                    line.append(p)
+            elif p.noise:
                 if p.tag not in INLINE:
                     close()
             elif p.tag == "br":
                 line.append(" ")
             elif p.tag in INLINE:
-                stack += reversed(p.parts)
+                stack += [(x, out) for x in reversed(p.parts)]
             else:
                 close()
-                stack += [None, *reversed(p.parts)]
+                own = p.path in gone
+                stack += [(None, False), *((x, own) for x in reversed(p.parts))]
         close()
     return " ".join(blocks)
 
 
+def _size(node: Node) -> int:
+    """Characters below a node, noise left out."""
+    n, todo = 0, [node]
+    while todo:
+        node = todo.pop()
+        for p in node.parts:
+            if isinstance(p, str):
+                n += len(p.strip())
+            elif not p.noise:
+                todo.append(p)
+    return n
+
+
 def _regions(root: Node) -> list[Node]:
+    """A page's ``article`` and ``main`` elements, or the whole page.
+
+    Articles that hold less than half of the text are teasers: the page is
+    taken whole then. A ``main`` is taken at any size.
+    """
     found: list[Node] = []
     todo = [root]
     while todo:
@@ -205,6 +248,8 @@ def _regions(root: Node) -> list[Node]:
             found.append(node)
         else:
             todo += reversed([p for p in node.parts if not isinstance(p, str)])
+    if not found or all(n.tag == "article" for n in found) and 2 * sum(map(_size, found)) < _size(root):
+        return [root]
     return found
 
 
@@ -213,26 +258,33 @@ def host_of(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The merged tree: ``host, path, pages, presentation, content`` (importances 0 to 1).
+def style_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """How often each variant occurs: ``host, path, kind, v, n``; kind ``p`` are child sequences, ``c`` texts.
 
-    Workers emit one row a page and path; Spark counts the variants, first
-    within each task, so a host with a third of all pages is no single task's
-    work.
+    A variant whose pages all have the same main text counts once: copies of
+    one page say nothing about what pages repeat. Workers emit one row a page
+    and path; Spark counts the variants, first within each task, so a host
+    with a third of all pages is no single task's work.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", 4 << 20):
-            out: list[list[str]] = [[], [], [], []]
+            out: list[list[str]] = [[], [], [], [], []]
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for path, (shape, text) in styles(parse(source)).items():
-                    for column, x in zip(out, (host, path, shape, text), strict=True):
+                page, found = styles(parse(source))
+                for path, (shape, text) in found.items():
+                    for column, x in zip(out, (host, page, path, shape, text), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["host", "path", "shape", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["host", "page", "path", "shape", "text"])
 
-    seen = map_arrow(pages.select(host_of(url_col).alias("host"), text_or_empty(html_col).alias("html")), run, "host string, path string, shape string, text string")
-    both = seen.select("host", "path", F.explode(F.array(F.struct(F.lit("p").alias("kind"), F.col("shape").alias("v")), F.struct(F.lit("c").alias("kind"), F.col("text").alias("v")))).alias("x"))
-    counts = both.groupBy("host", "path", "x.kind", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    seen = map_arrow(pages.select(host_of(url_col).alias("host"), text_or_empty(html_col).alias("html")), run, "host string, page string, path string, shape string, text string")
+    both = seen.select("host", "page", "path", F.explode(F.array(F.struct(F.lit("p").alias("kind"), F.col("shape").alias("v")), F.struct(F.lit("c").alias("kind"), F.col("text").alias("v")))).alias("x"))
+    one = F.min("page") == F.max("page")
+    return both.groupBy("host", "path", "x.kind", "x.v").agg(F.when(one, F.lit(1)).otherwise(F.count(F.lit(1))).cast("long").alias("n"))
+
+
+def style_tree(counts: DataFrame) -> DataFrame:
+    """The merged tree of ``style_counts``: ``host, path, pages, presentation, content`` (importances 0 to 1)."""
     sums = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"), F.max("v").alias("any"))
     # entropy of the variants, divided by that of as many different ones
     importance = F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.log2("pages"))).otherwise(1.0)
@@ -243,30 +295,41 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
 
 
-def low_branches(tree: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """``host, low``: the paths below which everything is of low importance.
+def _above() -> Column:
+    """A path and the paths above it."""
+    steps = F.split("path", "/")
+    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
+
+
+def low_branches(tree: DataFrame, counts: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+    """``host, low``: the paths below which everything is of low importance, each with its repeated texts.
 
     A branch is as important as its most important node, so a path is kept if
-    any path below it is.
+    any path below it is. A text is a repeated one if at least ``SHARED`` of
+    the path's pages have it.
     """
     worth = F.greatest("presentation", "content")
     poor = tree.filter((F.col("pages") >= min_pages) & (worth < low) & F.col("path").rlike("/.*/.*/"))
-    steps = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
-    rich = tree.filter((F.col("pages") < min_pages) | (worth >= low)).select("host", F.explode(above).alias("path")).distinct()
-    return poor.join(rich, ["host", "path"], "left_anti").groupBy("host").agg(F.collect_set("path").alias("low"))
+    rich = tree.filter((F.col("pages") < min_pages) | (worth >= low)).select("host", F.explode(_above()).alias("path")).distinct()
+    poor = poor.join(rich, ["host", "path"], "left_anti").select("host", "path", "pages")
+    often = counts.filter("kind = 'c' AND v <> '' AND n > 1").join(poor, ["host", "path"]).filter(F.col("n") >= F.lit(SHARED) * F.col("pages"))
+    texts = often.groupBy("host", "path").agg(F.collect_list("v").alias("texts"))
+    return texts.groupBy("host").agg(F.collect_list(F.struct("path", "texts")).alias("low"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
     """``id_col, url, text, n_chars``: the main text of every page."""
     kind = pages.schema[id_col].dataType.simpleString()
-    branches = low_branches(style_tree(pages, url_col, html_col), min_pages, low)
+    counts = written(style_counts(pages, url_col, html_col), "styles")
+    branches = low_branches(style_tree(counts), counts, min_pages, low)
     rows = pages.select(F.col(id_col), F.col(url_col).alias("url"), text_or_empty(html_col).alias("html"), host_of(url_col).alias("host"))
     joined = rows.join(branches, "host", "left").select(id_col, "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", 4 << 20):
-            texts = [main_text(parse(source), frozenset(poor or ())) for source, poor in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = []
+            for source, poor in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                texts.append(main_text(parse(source), {x["path"]: frozenset(x["texts"]) for x in poor or ()}))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
     return map_arrow(joined, run, f"`{id_col}` {kind}, url string, text string, n_chars long")

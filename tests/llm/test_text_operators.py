@@ -115,6 +115,21 @@ def test_site_tree_raw_text_ends_at_its_own_tag():
     assert site_tree.main_text(site_tree.parse("<p>seen</p><script>i<n; never closed <p>no</p>")) == "seen"
 
 
+def test_site_tree_decides_inside_articles(spark):
+    page = "<html><body><article><h1>Head {0}</h1><div class=box><p>{1}</p></div><div class=in><p>text {0}</p></div></article>"
+    # a page whose text at the repeated place is its own keeps it
+    same = [page.format(i, "Follow us") for i in range(40)] + [page.format(40, "Own words")]
+    # few articles, each copied: nothing is known to be repeated
+    copies = ["<html><body><main><div class=a><p>One article, copied</p></div></main>"] * 30
+    # the body stands in a div, only teasers are articles
+    teasers = ["<html><body><div class=t><article><p>Teaser</p></article></div>" + f"<div class=b><p>The long body of page {i}, with words</p></div>" for i in range(12)]
+    rows = [(i, f"http://{h}/x", t) for h, pages in (("a", same), ("b", copies), ("c", teasers)) for i, t in enumerate(pages)]
+    got = {(r.url, r.page_id): r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got["http://a/x", i] for i in range(41)] == [f"Head {i} text {i}" for i in range(40)] + ["Head 40 Own words text 40"]
+    assert {got["http://b/x", i] for i in range(30)} == {"One article, copied"}
+    assert [got["http://c/x", i] for i in range(12)] == [f"The long body of page {i}, with words" for i in range(12)]
+
+
 def test_bpe_against_library(odd, empty):
     from tokenizers import Tokenizer
 
