@@ -9,12 +9,13 @@ each page that has the repeated text there; what is left in blocks is the
 page's main text.
 
 Entropy alone says nothing about a host with few pages, so element semantics
-are the prior importance of a branch: ``nav``, ``footer``, ``aside``, forms,
-scripts and class names of menus, adverts, notices or comments have none, and
-a page's ``article`` or ``main`` stands for the page, unless its articles are
-mere teasers. Inside and outside of them the tree decides alike. An article
-copied to many pages would look like a notice, so pages of one main text count
-once.
+are the prior importance of a branch: ``nav``, ``footer``, ``aside``, forms
+and scripts have none, and a page's ``article`` or ``main`` stands for the
+page, unless its articles are mere teasers. Inside and outside of them the
+tree decides alike. Class names of menus, adverts, notices or comments remove
+a branch unless the tree knows enough pages on which its texts differ; they
+never count on what stands around an article. An article copied to many pages
+would look like a notice, so pages of one main text count once.
 
 Defined results: null or empty html gives an empty text; broken markup is read
 as far as it goes; a null url is a host of its own; repeated rows give repeated
@@ -26,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,6 +45,8 @@ NOISE = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "script", "
 NOISE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "side", "aside", "footer", "header", "masthead", "cookie", "cookies", "consent", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "discussion", "replies", "pagination", "pager", "widget", "toolbar", "legal", "copyright", "complementary", "contentinfo"}
 #: Elements that stand inside a line of text.
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
+#: The elements of main text, those that words never remove, and those whose id is a name of theirs.
+REGION, WHOLE, TITLED = {"article", "main"}, {"html", "body"}, {"h1", "h2", "h3", "h4", "h5", "h6", "section"}
 #: An open element that the start of the key ends by itself.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements whose start ends an open paragraph.
@@ -58,27 +61,35 @@ _END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 
 MIN_PAGES = 8
 LOW = 0.2
+HIGH = 0.5
 SHARED = 0.05
 
 
 class Node:
-    """An element of a page: its style (tag and classes), path, children and texts."""
+    """An element of a page: its style (tag and classes), path, children and texts.
 
-    __slots__ = ("tag", "style", "path", "parent", "parts", "noise")
+    ``noise`` elements never count; ``soft`` ones have a word of noise, which
+    the tree may contradict.
+    """
+
+    __slots__ = ("tag", "style", "path", "parent", "parts", "noise", "soft")
 
-    def __init__(self, tag: str, style: str, parent: Node | None, noise: bool):
-        self.tag, self.style, self.parent, self.noise = tag, style, parent, noise
+    def __init__(self, tag: str, style: str, parent: Node | None, noise: bool, soft: bool = False):
+        self.tag, self.style, self.parent, self.noise, self.soft = tag, style, parent, noise, soft
         self.path = style if parent is None else f"{parent.path}/{style}"
         self.parts: list[Node | str] = []
 
 
-def _start(source: str, tag: str) -> tuple[str, bool]:
+def _start(source: str, tag: str, inside: Callable[[], bool]) -> tuple[str, bool, bool]:
+    """Style, noise and soft of a start tag; ``inside`` says if it stands in an article or main."""
     marks = _MARK.findall(source) if "=" in source else []
     values = {k.lower(): (a or b or c).lower() for k, a, b, c in marks}
     classes = sorted(set(values.get("class", "").split()))
-    words = {w for k in ("class", "id", "role") for w in _WORDS.findall(values.get(k, ""))}
-    noise = tag in NOISE or bool(words & NOISE_WORDS) or values.get("aria-hidden") == "true"
-    return ".".join([tag, *classes]), noise
+    words = lambda *keys: bool({w for k in keys for w in _WORDS.findall(values.get(k, ""))} & NOISE_WORDS)
+    soft = tag not in WHOLE and words("class", "id", "role")
+    if soft and tag in TITLED and not words("class", "role"):
+        soft = not inside()  # there an id is the name of a heading
+    return ".".join([tag, *classes]), tag in NOISE or values.get("aria-hidden") == "true", soft
 
 
 def parse(source: str) -> Node:
@@ -111,10 +122,10 @@ def parse(source: str) -> Node:
                     if tag != "tr":
                         break
                 up = up.parent
-        style, noise = _start(s, tag)
-        if tag == "header" and not _inside(at, {"article", "main"}):
+        style, noise, soft = _start(s, tag, lambda up=at: _inside(up, REGION))
+        if tag == "header" and not _inside(at, REGION):
             noise = True
-        node = Node(tag, style, at, noise)
+        node = Node(tag, style, at, noise, soft)
         at.parts.append(node)
         if tag not in VOID and not s.endswith("/>"):
             at = node
@@ -123,9 +134,48 @@ def parse(source: str) -> Node:
                 stop = end.start() if end else size
                 node.parts.append(source[place:stop])
                 place = stop
+    _unwrap(root)
     return root
 
 
+def _unwrap(root: Node) -> None:
+    """No word counts on a main or an outermost article, nor on what stands around them.
+
+    If the text outside of soft elements is more than that of the articles in
+    soft elements, these are cards of a menu, and the words count.
+    """
+
+    def clear(up: Node | None) -> None:
+        while up is not None:
+            up.soft = False
+            up = up.parent
+
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "main":
+            clear(node)
+        if not node.noise and node.tag != "article":
+            todo += [p for p in node.parts if not isinstance(p, str)]
+    clean, cards = 0, []
+    todo = [(root, False, False)]
+    while todo:
+        node, below, held = todo.pop()
+        if node.noise:
+            continue
+        below = below or node.soft
+        if node.tag in REGION and not below and not held:
+            clean, held = clean + _size(node), True
+        if node.tag == "article":
+            if below:
+                cards.append(node)
+        else:
+            todo += [(p, below, held) for p in node.parts if not isinstance(p, str)]
+    if cards and sum(map(_size, cards)) >= clean:
+        for node in cards:
+            clear(node)
+
+
 def _inside(node: Node | None, tags: set[str]) -> bool:
     while node is not None:
         if node.tag in tags:
@@ -139,7 +189,7 @@ def _own_text(node: Node) -> str:
     for p in node.parts:
         if isinstance(p, str):
             out.append(p)
-        elif p.tag in INLINE and not p.noise:
+        elif p.tag in INLINE and not p.noise and not p.soft:
             out.append(_own_text(p))
     return _SPACE.sub(" ", "".join(out)).strip()
 
@@ -156,33 +206,38 @@ def _texts(root: Node, paths: frozenset[str] | set[str] | dict | None = None) ->
         node = todo.pop()
         if node.noise:
             continue
-        if node.tag not in INLINE and (paths is None or node.path in paths):
+        if (node.tag not in INLINE or node.soft) and (paths is None or node.path in paths):
             texts.setdefault(node.path, []).append(_own_text(node))
         todo += reversed([p for p in node.parts if not isinstance(p, str)])
     return {p: "\n".join(t) if any(t) else "" for p, t in texts.items()}
 
 
-def styles(root: Node) -> tuple[str, dict[str, tuple[str, str]]]:
-    """A digest of the page's main text, and for each path digests of its nodes' children and texts."""
+def styles(root: Node) -> tuple[str, dict[str, tuple[str, str, bool]]]:
+    """A digest of the page's main text, and for each path digests of its nodes' children and texts, and whether it is soft or below a soft one."""
     shapes: dict[str, list[str]] = {}
-    todo = [root]
+    soft: set[str] = set()
+    todo = [(root, False)]
     while todo:
-        node = todo.pop()
+        node, below = todo.pop()
         if node.noise:
             continue
+        below = below or node.soft
         kids = [p for p in node.parts if not isinstance(p, str)]
-        if node.tag not in INLINE:
+        if node.tag not in INLINE or node.soft:
             shapes.setdefault(node.path, []).append(" ".join(dict.fromkeys(k.style for k in kids)))
-        todo += reversed(kids)
+            if below:
+                soft.add(node.path)
+        todo += [(k, below) for k in reversed(kids)]
     texts = _texts(root)
-    return _digest(main_text(root)), {p: (_digest("\n".join(shapes[p])), _digest(texts[p]) if texts[p] else "") for p in shapes}
+    return _digest(main_text(root)), {p: (_digest("\n".join(shapes[p])), _digest(texts[p]) if texts[p] else "", p in soft) for p in shapes}
 
 
-def main_text(root: Node, low: dict[str, frozenset[str]] | None = None) -> str:
+def main_text(root: Node, low: dict[str, frozenset[str]] | None = None, high: frozenset[str] = frozenset()) -> str:
     """The blocks of a page in order, without noise and without repeated texts of low branches.
 
     ``low`` has the digests of the repeated texts of each low path: a page
-    whose text there is another one keeps it.
+    whose text there is another one keeps it. ``high`` are the paths whose
+    words the tree contradicts; other soft elements go.
     """
     gone = {p for p, t in _texts(root, low).items() if _digest(t) in low[p]} if low else set()
     blocks: list[str] = []
@@ -194,7 +249,7 @@ def main_text(root: Node, low: dict[str, frozenset[str]] | None = None) -> str:
             blocks.append(text)
         line.clear()
 
-    for top in _regions(root):
+    for top in _regions(root, high):
         # with each part, whether the text around it goes
         stack: list[tuple[Node | str | None, bool]] = [(top, False)]
         while stack:
@@ -204,13 +259,14 @@ def main_text(root: Node, low: dict[str, frozenset[str]] | None = None) -> str:
             elif isinstance(p, str):
                 if not out:
                     line.append(p)
-            elif p.noise:
+            elif p.noise or (p.soft and p.path not in high):
                 if p.tag not in INLINE:
                     close()
             elif p.tag == "br":
                 line.append(" ")
             elif p.tag in INLINE:
-                stack += [(x, out) for x in reversed(p.parts)]
+                inner = p.path in gone if p.soft else out
+                stack += [(x, inner) for x in reversed(p.parts)]
             else:
                 close()
                 own = p.path in gone
@@ -219,20 +275,20 @@ def main_text(root: Node, low: dict[str, frozenset[str]] | None = None) -> str:
     return " ".join(blocks)
 
 
-def _size(node: Node) -> int:
-    """Characters below a node, noise left out."""
+def _size(node: Node, high: frozenset[str] = frozenset()) -> int:
+    """Characters below a node, noise and soft elements left out."""
     n, todo = 0, [node]
     while todo:
         node = todo.pop()
         for p in node.parts:
             if isinstance(p, str):
                 n += len(p.strip())
-            elif not p.noise:
+            elif not p.noise and (not p.soft or p.path in high):
                 todo.append(p)
     return n
 
 
-def _regions(root: Node) -> list[Node]:
+def _regions(root: Node, high: frozenset[str] = frozenset()) -> list[Node]:
     """A page's ``article`` and ``main`` elements, or the whole page.
 
     Articles that hold less than half of the text are teasers: the page is
@@ -242,13 +298,13 @@ def _regions(root: Node) -> list[Node]:
     todo = [root]
     while todo:
         node = todo.pop()
-        if node.noise:
+        if node.noise or (node.soft and node.path not in high):
             continue
-        if node.tag in ("article", "main"):
+        if node.tag in REGION:
             found.append(node)
         else:
             todo += reversed([p for p in node.parts if not isinstance(p, str)])
-    if not found or all(n.tag == "article" for n in found) and 2 * sum(map(_size, found)) < _size(root):
+    if not found or all(n.tag == "article" for n in found) and 2 * sum(_size(n, high) for n in found) < _size(root, high):
         return [root]
     return found
 
@@ -259,7 +315,7 @@ def host_of(url: str):
 
 
 def style_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """How often each variant occurs: ``host, path, kind, v, n``; kind ``p`` are child sequences, ``c`` texts.
+    """How often each variant occurs: ``host, path, kind, v, n, soft``; kind ``p`` are child sequences, ``c`` texts.
 
     A variant whose pages all have the same main text counts once: copies of
     one page say nothing about what pages repeat. Workers emit one row a page
@@ -269,29 +325,29 @@ def style_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", 4 << 20):
-            out: list[list[str]] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page, found = styles(parse(source))
-                for path, (shape, text) in found.items():
-                    for column, x in zip(out, (host, page, path, shape, text), strict=True):
+                for path, (shape, text, soft) in found.items():
+                    for column, x in zip(out, (host, page, path, shape, text, soft), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["host", "page", "path", "shape", "text"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in out[:5]), pa.array(out[5], pa.bool_())], names=["host", "page", "path", "shape", "text", "soft"])
 
-    seen = map_arrow(pages.select(host_of(url_col).alias("host"), text_or_empty(html_col).alias("html")), run, "host string, page string, path string, shape string, text string")
-    both = seen.select("host", "page", "path", F.explode(F.array(F.struct(F.lit("p").alias("kind"), F.col("shape").alias("v")), F.struct(F.lit("c").alias("kind"), F.col("text").alias("v")))).alias("x"))
+    seen = map_arrow(pages.select(host_of(url_col).alias("host"), text_or_empty(html_col).alias("html")), run, "host string, page string, path string, shape string, text string, soft boolean")
+    both = seen.select("host", "page", "path", "soft", F.explode(F.array(F.struct(F.lit("p").alias("kind"), F.col("shape").alias("v")), F.struct(F.lit("c").alias("kind"), F.col("text").alias("v")))).alias("x"))
     one = F.min("page") == F.max("page")
-    return both.groupBy("host", "path", "x.kind", "x.v").agg(F.when(one, F.lit(1)).otherwise(F.count(F.lit(1))).cast("long").alias("n"))
+    return both.groupBy("host", "path", "x.kind", "x.v").agg(F.when(one, F.lit(1)).otherwise(F.count(F.lit(1))).cast("long").alias("n"), F.max("soft").alias("soft"))
 
 
 def style_tree(counts: DataFrame) -> DataFrame:
-    """The merged tree of ``style_counts``: ``host, path, pages, presentation, content`` (importances 0 to 1)."""
-    sums = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"), F.max("v").alias("any"))
+    """The merged tree of ``style_counts``: ``host, path, pages, presentation, content, soft`` (importances 0 to 1)."""
+    sums = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"), F.max("v").alias("any"), F.max("soft").alias("soft"))
     # entropy of the variants, divided by that of as many different ones
     importance = F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.log2("pages"))).otherwise(1.0)
     return (
         sums.withColumn("importance", F.when((F.col("kind") == "c") & (F.col("any") == ""), F.lit(0.0)).otherwise(importance))
         .groupBy("host", "path")
-        .agg(F.max("pages").alias("pages"), F.max(F.when(F.col("kind") == "p", F.col("importance"))).alias("presentation"), F.max(F.when(F.col("kind") == "c", F.col("importance"))).alias("content"))
+        .agg(F.max("pages").alias("pages"), F.max(F.when(F.col("kind") == "p", F.col("importance"))).alias("presentation"), F.max(F.when(F.col("kind") == "c", F.col("importance"))).alias("content"), F.max("soft").alias("soft"))
     )
 
 
@@ -317,19 +373,29 @@ def low_branches(tree: DataFrame, counts: DataFrame, min_pages: int = MIN_PAGES,
     return texts.groupBy("host").agg(F.collect_list(F.struct("path", "texts")).alias("low"))
 
 
+def high_branches(tree: DataFrame, min_pages: int = MIN_PAGES, high: float = HIGH) -> DataFrame:
+    """``host, high``: the paths with texts of high importance in or below soft elements.
+
+    Texts alone say so: adverts may vary in shape without being text.
+    """
+    rich = tree.filter(F.col("soft") & (F.col("pages") >= min_pages) & (F.col("content") >= high))
+    return rich.select("host", F.explode(_above()).alias("path")).groupBy("host").agg(F.collect_set("path").alias("high"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
     """``id_col, url, text, n_chars``: the main text of every page."""
     kind = pages.schema[id_col].dataType.simpleString()
     counts = written(style_counts(pages, url_col, html_col), "styles")
-    branches = low_branches(style_tree(counts), counts, min_pages, low)
+    tree = style_tree(counts)
+    branches = low_branches(tree, counts, min_pages, low).join(high_branches(tree, min_pages), "host", "full")
     rows = pages.select(F.col(id_col), F.col(url_col).alias("url"), text_or_empty(html_col).alias("html"), host_of(url_col).alias("host"))
-    joined = rows.join(branches, "host", "left").select(id_col, "url", "html", "low")
+    joined = rows.join(branches, "host", "left").select(id_col, "url", "html", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", 4 << 20):
             texts = []
-            for source, poor in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                texts.append(main_text(parse(source), {x["path"]: frozenset(x["texts"]) for x in poor or ()}))
+            for source, poor, rich in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                texts.append(main_text(parse(source), {x["path"]: frozenset(x["texts"]) for x in poor or ()}, frozenset(rich or ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
     return map_arrow(joined, run, f"`{id_col}` {kind}, url string, text string, n_chars long")

@@ -130,6 +130,24 @@ def test_site_tree_decides_inside_articles(spark):
     assert [got["http://c/x", i] for i in range(12)] == [f"The long body of page {i}, with words" for i in range(12)]
 
 
+def test_site_tree_words_are_a_prior(spark):
+    whole = [
+        '<html class="has-sidebar"><body class="post no-sidebar"><div class="has-sidebar" id="header"><article><p>a</p></article></div>',
+        '<body><main class="share"><article class="comments-closed"><p>a</p></article></main>',
+        '<body><article><h2 id="side-effects">a</h2></article>',
+        '<body><article><section id="discussion"><p>a</p></section></article>',
+    ]
+    for page in whole:
+        assert site_tree.main_text(site_tree.parse(page)) == "a"
+    cards = '<body><div class="related"><article>x</article></div><article><p>text</p><div class="share">no</div></article>'
+    assert site_tree.main_text(site_tree.parse(cards)) == "text"
+    # the tree contradicts a word if a branch's texts differ, and confirms it if they don't
+    pages = [f"<html><body><div class=widget><p>body {i}</p></div><div class=share><p>Share this</p></div>" for i in range(12)]
+    rows = [(i, "http://h/x", t) for i, t in enumerate(pages)]
+    got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"body {i}" for i in range(12)}
+
+
 def test_bpe_against_library(odd, empty):
     from tokenizers import Tokenizer
 
