@@ -23,8 +23,9 @@ positions of the corpus:
 
 Defined results: a null text counts as empty; texts shorter than ``LENGTH``
 bytes keep everything; rows with one id are one document as to what precedes
-them, and each keeps its own result by position in its own text; null ids come
-after all others; an empty table gives an empty table.
+them, and each keeps its own result by position in its own text, runs and spans
+being kept by a name of the id and the text's digest; null ids come after all
+others; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -155,90 +156,90 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate((first, [len(values)])))
 
 
-_PACKET = "deal long, bucket int, known boolean, docs binary, at binary, keys binary"
+_PACKET = "deal long, bucket int, known boolean, rows binary, at binary, keys binary"
 
 
 def _packets(buckets: int):
-    """Packets of anchors: keys (4 bytes) and places (2 bytes) in a list of documents (8 bytes)."""
+    """Packets of anchors: keys (4 bytes) and places (2 bytes) in a list of rows (8 bytes)."""
 
-    def packet(bucket: int, known: bool, docs: np.ndarray, keys: np.ndarray) -> tuple[int, int, bool, bytes, bytes, bytes]:
-        named, at = np.unique(docs, return_inverse=True)
+    def packet(bucket: int, known: bool, rows: np.ndarray, keys: np.ndarray) -> tuple[int, int, bool, bytes, bytes, bytes]:
+        named, at = np.unique(rows, return_inverse=True)
         return (bucket + int(named[0])) % buckets if known else bucket, bucket, known, named.tobytes(), at.astype(np.uint16).tobytes(), keys.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in pieces(batches, "text", PACKED):
             for start in range(0, big.num_rows, 1 << 16):
                 batch = big.slice(start, 1 << 16)
-                found = [runs(np.frombuffer(t.as_buffer(), dtype=np.uint8))[0] for t in batch.column(1).cast(pa.binary())]
+                found = [runs(np.frombuffer(t.as_buffer(), dtype=np.uint8))[0] for t in batch.column(2).cast(pa.binary())]
                 h = np.concatenate(found)
                 if not len(h):
                     continue
-                doc = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+                row = np.repeat(batch.column(1).to_numpy(), [len(x) for x in found])
                 bucket, key = _split(h, buckets)
                 name = bucket << np.int64(32) | key
-                order = np.lexsort((doc, name))
-                name, doc = name[order], doc[order]
-                new = np.concatenate(([True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])))
-                name, doc = name[new], doc[new]
+                order = np.lexsort((row, name))
+                name, row = name[order], row[order]
+                new = np.concatenate(([True], (name[1:] != name[:-1]) | (row[1:] != row[:-1])))
+                name, row = name[new], row[new]
                 first, size = _groups(name)
                 several = np.repeat(size > 1, size)
                 sent = name[first] >> 32
                 edges, length = _groups(sent)
                 key = name.astype(np.uint32)
-                out = [packet(int(sent[a]), False, doc[first[a : a + n]], key[first[a : a + n]]) for a, n in zip(edges.tolist(), length.tolist(), strict=True)]
+                out = [packet(int(sent[a]), False, row[first[a : a + n]], key[first[a : a + n]]) for a, n in zip(edges.tolist(), length.tolist(), strict=True)]
                 # what the batch itself knows needs no meeting and is dealt over all tasks
-                name, doc, key = name[several], doc[several], key[several]
+                name, row, key = name[several], row[several], key[several]
                 if len(name):
                     edges, length = _groups(name >> 32)
-                    out += [packet(int(name[a] >> 32), True, doc[a : a + n], key[a : a + n]) for a, n in zip(edges.tolist(), length.tolist(), strict=True)]
+                    out += [packet(int(name[a] >> 32), True, row[a : a + n], key[a : a + n]) for a, n in zip(edges.tolist(), length.tolist(), strict=True)]
                 cols = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["deal", "bucket", "known", "docs", "at", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["deal", "bucket", "known", "rows", "at", "keys"])
 
     return run
 
 
-_REPLY = "doc long, bucket int, keys binary"
+_REPLY = "row long, bucket int, keys binary"
 
 
 def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document its anchors that are in others too; buckets come one after the other."""
+    """For each row its anchors that are in others too; buckets come one after the other."""
     waiting: list[tuple[np.ndarray, np.ndarray, bool]] = []
     last = None
 
     def close(bucket: int) -> pa.RecordBatch:
-        key, doc = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
+        key, row = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
         known = np.repeat([w[2] for w in waiting], [len(w[0]) for w in waiting])
         waiting.clear()
-        order = np.lexsort((doc, key))
-        key, doc, known = key[order], doc[order], known[order]
+        order = np.lexsort((row, key))
+        key, row, known = key[order], row[order], known[order]
         first, size = _groups(key)
-        least, most = doc[first], doc[first + size - 1]
+        least, most = row[first], row[first + size - 1]
         shared = known | np.repeat(least < most, size)
-        key, doc = key[shared], doc[shared]
-        order = np.argsort(doc, kind="stable")
-        key, doc = key[order], doc[order]
-        first, size = _groups(doc) if len(doc) else (doc, doc)
+        key, row = key[shared], row[shared]
+        order = np.argsort(row, kind="stable")
+        key, row = key[order], row[order]
+        first, size = _groups(row) if len(row) else (row, row)
         keys = [key[a : a + n].tobytes() for a, n in zip(first.tolist(), size.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(doc[first] if len(doc) else doc, pa.int64()), pa.array(np.full(len(keys), bucket), pa.int32()), pa.array(keys, pa.binary())], names=["doc", "bucket", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(row[first] if len(row) else row, pa.int64()), pa.array(np.full(len(keys), bucket), pa.int32()), pa.array(keys, pa.binary())], names=["row", "bucket", "keys"])
 
     for batch in batches:
-        for bucket, known, docs, at, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, known, rows, at, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if waiting and bucket != last:
                 yield close(last)
             last = bucket
-            waiting.append((np.frombuffer(keys, dtype=np.uint32), np.frombuffer(docs, dtype=np.int64)[np.frombuffer(at, dtype=np.uint16)], known))
+            waiting.append((np.frombuffer(keys, dtype=np.uint32), np.frombuffer(rows, dtype=np.int64)[np.frombuffer(at, dtype=np.uint16)], known))
     if waiting:
         yield close(last)
 
 
 def _contexts(buckets: int):
-    """The runs, with their bytes, of each document's shared anchors."""
+    """The runs, with their bytes, of each row's shared anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
-            h, ctx, doc, s = [], [], [], []
-            for k, t, found in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            h, ctx, doc, row, s = [], [], [], [], []
+            for k, name, t, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 wanted = np.concatenate([np.frombuffer(f["keys"], dtype=np.uint32).astype(np.int64) | np.int64(f["bucket"]) << np.int64(32) for f in found])
                 hs, ss, ns = runs(np.frombuffer(t, dtype=np.uint8))
                 bucket, key = _split(hs, buckets)
@@ -246,15 +247,16 @@ def _contexts(buckets: int):
                 h.append(hs[take])
                 s.append(ss[take])
                 doc.append(np.full(len(take), k))
+                row.append(np.full(len(take), name))
                 ctx += [t[a : a + b + LENGTH - 1] for a, b in zip(ss[take].tolist(), ns[take].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h), pa.int64()), pa.array(ctx, pa.binary()), pa.array(np.concatenate(doc), pa.int64()), pa.array(np.concatenate(s), pa.int32())], names=["h", "bytes", "doc", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h), pa.int64()), pa.array(ctx, pa.binary()), pa.array(np.concatenate(doc), pa.int64()), pa.array(np.concatenate(row), pa.int64()), pa.array(np.concatenate(s), pa.int32())], names=["h", "bytes", "doc", "row", "s"])
 
     return run
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of repeats from runs sorted by anchor, bytes and doc."""
-    texts: list[bytes] = []  # different runs that wait, with their first document and place
+    texts: list[bytes] = []  # different runs that wait, with their document, and row and place
     docs: list[int] = []
     places: list[list[tuple[int, int]]] = []
     size = 0
@@ -266,7 +268,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rep.any():
                 on = np.flatnonzero(np.diff(np.concatenate(([0], rep.view(np.int8), [0]))))
                 for a, b in zip(on[0::2].tolist(), on[1::2].tolist(), strict=True):
-                    out.extend((d, s + a, s + b + LENGTH - 1) for d, s in where)
+                    out.extend((w, s + a, s + b + LENGTH - 1) for w, s in where)
         texts.clear()
         docs.clear()
         places.clear()
@@ -274,10 +276,10 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         got = np.array(out, dtype=np.int64).reshape(-1, 3)
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1].astype(np.int32)), pa.array(got[:, 2].astype(np.int32))], names=["doc", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1].astype(np.int32)), pa.array(got[:, 2].astype(np.int32))], names=["row", "a", "b"])
 
     for batch in batches:
-        for h, t, d, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for h, t, d, w, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if h != last_h:
                 if size > CHUNK:
                     sort()
@@ -288,12 +290,12 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if new:
                 texts.append(t)
                 docs.append(d)
-                places.append([(d, s)])
+                places.append([(w, s)])
                 size += len(t)
             elif d == docs[-1]:
-                places[-1].append((d, s))
+                places[-1].append((w, s))
             else:  # the same run in a larger document: all of it is a repeat
-                out.append((d, s, s + len(t)))
+                out.append((w, s, s + len(t)))
         if len(out) > 20_000:
             yield flush()
     if texts:
@@ -303,26 +305,38 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def firsts(rows: DataFrame) -> DataFrame:
-    """``doc, first``: documents with the least id among those of an equal text."""
-    text = F.unhex(F.md5(F.col("text").cast("binary")))
-    least = rows.select("doc", text.alias("key")).groupBy("key").agg(F.min("doc").alias("doc"))
-    return written(least.select("doc").distinct().withColumn("first", F.lit(True)), "firsts")
+    """``row, first``: the row of the least id among those of an equal text."""
+    least = rows.select("doc", _digest("text").alias("key")).groupBy("key").agg(F.min("doc").alias("doc"))
+    return written(least.select(F.xxhash64("doc", "key").alias("row"), F.lit(True).alias("first")), "firsts")
 
 
 def repeated_spans(rows: DataFrame, first: DataFrame) -> DataFrame:
-    """``doc, spans``: byte spans (``a`` to ``b``, not merged) of the ``first`` documents' repeats."""
+    """``row, spans``: byte spans (``a`` to ``b``, not merged) of the ``first`` rows' repeats."""
     buckets = partitions(rows.sparkSession)
-    own = rows.join(first.hint("shuffle_hash"), "doc", "left_semi")
+    own = rows.join(first.hint("shuffle_hash"), "row", "left_semi").select("doc", "row", "text")
     packets = map_arrow(own, _packets(buckets), _PACKET).repartition(buckets, "deal").sortWithinPartitions("bucket").drop("deal")
-    by_doc = map_arrow(packets, _replies, _REPLY).groupBy("doc").agg(F.collect_list(F.struct("bucket", "keys")).alias("found"))
-    met = own.join(by_doc, "doc").select("doc", "text", "found")
-    contexts = map_arrow(met, _contexts(buckets), "h long, bytes binary, doc long, s int")
+    by_row = map_arrow(packets, _replies, _REPLY).groupBy("row").agg(F.collect_list(F.struct("bucket", "keys")).alias("found"))
+    met = own.join(by_row, "row").select("doc", "row", "text", "found")
+    contexts = map_arrow(met, _contexts(buckets), "h long, bytes binary, doc long, row long, s int")
     sorted_runs = contexts.repartition("h").sortWithinPartitions("h", "bytes", "doc", "s")
-    return map_arrow(sorted_runs, _found, "doc long, a int, b int").groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return map_arrow(sorted_runs, _found, "row long, a int, b int").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
+
+
+def _doc(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
+
+
+def _row(id_col: str, text_col: str) -> Column:
+    """A row's name, 64 bits of its id and its text's digest: only rows that are equal in both share it."""
+    return F.xxhash64(_doc(id_col), _digest(text_col))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), text_or_empty(text_col).alias("text"))
+    return docs.select(_doc(id_col).alias("doc"), _row(id_col, text_col).alias("row"), text_or_empty(text_col).alias("text"))
 
 
 def _spans(value, first: bool, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +371,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     rows = _rows(docs, id_col, text_col)
     own = firsts(rows)
-    rows = rows.join(own.hint("shuffle_hash"), "doc", "left").join(repeated_spans(rows, own), "doc", "left").select("doc", "text", "spans", "first")
+    rows = rows.join(own.hint("shuffle_hash"), "row", "left").join(repeated_spans(rows, own), "row", "left").select("doc", "text", "spans", "first")
     return map_arrow(rows, run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -391,7 +405,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = _rows(docs, id_col, text_col)
     own = firsts(rows)
-    spans = repeated_spans(rows, own).select(F.col("doc").alias("__key"), F.col("spans").alias("__spans"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
-    joined = docs.withColumn("__key", key).join(own.select(F.col("doc").alias("__key"), F.col("first").alias("__first")), "__key", "left").join(spans, "__key", "left")
+    spans = repeated_spans(rows, own).select(F.col("row").alias("__key"), F.col("spans").alias("__spans"))
+    joined = docs.withColumn("__key", _row(id_col, text_col)).join(own.select(F.col("row").alias("__key"), F.col("first").alias("__first")), "__key", "left").join(spans, "__key", "left")
     return joined.withColumn(text_col, F.pandas_udf(cut, "string")(text_col, "__spans", F.coalesce("__first", F.lit(False)))).select(*docs.columns)

@@ -85,6 +85,20 @@ def test_suffix_dedup(odd, empty):
     assert cut.columns == odd.columns and cut.count() == odd.count()
 
 
+def test_suffix_dedup_keeps_rows_of_one_id_apart(spark):
+    rnd = random.Random(9)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared, other = text(12), text(12)
+    rows = [(3, text(20) + shared), (4, other + text(9)), (None, text(15) + shared + text(15)), (None, text(60)), (None, text(9)), (None, shared)]
+    rows += [(7, text(40) + other), (7, text(30)), (7, text(8) + other), (7, rows[0][1]), (9, shared + text(5)), rows[2]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_removed, r.kept_sha256) for r in suffix_dedup.digests(df).collect()), key=str)
+    want = brute_repeats(rows)
+    assert got == want
+    cut = suffix_dedup.without_repeats(df).collect()
+    assert sorted(((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in cut), key=str) == sorted(((k, h) for k, _, h in want), key=str)
+
+
 def test_bucket_pointers_order():
     data = np.frombuffer(b"abracadabra" * 9, dtype=np.uint8)
     p = suffix_dedup.bucket_pointers(data, 50)
