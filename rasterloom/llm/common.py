@@ -81,6 +81,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
             start = stop
 
 
+def text_bytes(texts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The UTF-8 bytes of an Arrow array of texts, one after the other, and where each ends; nulls are empty."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
+    ends = np.cumsum(sizes)
+    if texts.null_count or not len(texts):
+        return b"".join(t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts.cast(pa.binary())), ends
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32)
+    first = int(offsets[texts.offset])
+    return texts.buffers()[2].slice(first, int(ends[-1])).to_pybytes() if ends[-1] else b"", ends
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow``, with this package made importable on the executors."""
     ship(df.sparkSession)

@@ -1,21 +1,24 @@
 """Token-id files: an adaptive context-mixing range coder in independent blocks.
 
-Ids are cut into blocks that start from nothing and carry a checksum. In a
-block each id is predicted by order 2 (the id that last followed the two
-before it), order 1 (that last followed the one before it) and order 0 (the
-ids seen so far). The chance that order 2 is right is a logistic mixture of
-what the three orders say of it, with weights learned as the block goes on;
-likewise for order 1; order 0 then tells whether the id has been seen. These
-chances divide the coder's range among four cases; an id that order 0 must
-name takes its place among the ids seen, a new one is spelled out. All
-arithmetic is on integers, so every machine decodes what another has encoded.
-
-Blocks don't depend on each other: those of a batch advance together, an id at
-a time, in numpy; a damaged block is found by its checksum and costs no other.
+A file's head has its ids with their frequencies, which is what order 0 says,
+and a checksum. The ids are cut into blocks, each with a checksum of its own;
+all start from the head and from nothing else. In a block an id is coded as a
+hit or a miss of a guess: the id that order 2 (it last followed the two before
+it) or order 1 (it last followed the one before it) names, whichever has been
+surer. The chance of a hit is a logistic mixture of a vote of each order: how
+sure orders 2 and 1 are, whether they agree, and how frequent order 0 knows the
+guess to be; the votes learn from every id's error. A missed id takes its share
+of the range by order 0. All arithmetic is on integers, so every machine
+decodes what another has encoded.
+
+Blocks don't depend on each other: those of a file advance together, an id at
+a time, in numpy; a damaged block is found by its checksum and costs no other,
+a damaged head costs the file.
 
 Defined results: a null text counts as empty and has the end id alone; rows
 with one id are ordered by text; null ids come first; ids must be below 2**17;
-other columns are ignored; an empty table gives an empty table.
+other columns are ignored; an empty table gives an empty table. A worker holds
+the ids of one file (``chunk`` bytes of text, more if one text is longer).
 """
 
 from __future__ import annotations
@@ -24,8 +27,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
-from math import exp, log
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -36,268 +38,405 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rasterloom.llm.common import fresh_path, map_arrow, partitions, pieces, text_or_empty
+from rasterloom.llm.common import fresh_path, map_arrow, mix64, partitions, pieces, text_bytes, text_or_empty
 
 BLOCK = 2048
 #: Blocks that advance together.
-LANES = 2048
-ID_BITS = 17
-MAGIC = b"RLT1"
-_HEAD = struct.Struct("<4sIII")  # magic, ids, payload bytes, crc32 of the ids
-
-_TOP, _BOTTOM = np.uint64(1 << 56), np.uint64(1 << 40)
-_8, _16, _56 = np.uint64(8), np.uint64(16), np.uint64(56)
-_ONE = 1 << 16
-_SLOTS = 2048
+LANES = 4096
+MAGIC, HEAD_MAGIC = b"RLB2", b"RLH2"
+_BLOCK_HEAD = struct.Struct("<4sIII")  # magic, ids, payload bytes, crc32 of the ids
+_FILE_HEAD = struct.Struct("<4sIII")  # magic, different ids, packed bytes, crc32 of the packed bytes
+
+#: An entry of the tables of orders 1 and 2: how sure it is, above the place of the id it predicts.
+_ID_BITS = 17
+_ID_MASK = (1 << _ID_BITS) - 1
+_STEP = 1 << _ID_BITS
+#: Slots of the tables of orders 1 and 2.
+_SLOT_BITS = 10
+_SLOTS, _SLOT_MASK = 1 << _SLOT_BITS, (1 << _SLOT_BITS) - 1
+_0, _1, _16, _32, _BOTTOM = (np.uint64(x) for x in (0, 1, 16, 32, 1 << 32))
+_ONE, _LIMIT = 1 << 16, 2047
+#: Sums of votes (units of 1/256) to 16-bit chances.
+_SQUASH = np.array([min(65280, max(64, round(_ONE / (1 + exp(-x / 256))))) for x in [*range(_LIMIT + 1), *range(-_LIMIT, 0)]], dtype=np.int64)
+
+
+class _Start:
+    """What all blocks of a file start from: its ids, most frequent first, and their shares of the range.
+
+    Shares sum to ``1 << bits``; each id has one at least.
+    """
 
-#: 16-bit chances to logistic units of 1/256 and back, by 4096 steps.
-_STRETCH = np.array([round(256 * log((i + 0.5) / (4096 - i - 0.5))) for i in range(4096)], dtype=np.int64)
-_SQUASH = np.array([min(65280, max(256, round(_ONE / (1 + exp(-x / 256))))) for x in range(-2048, 2048)], dtype=np.int64)
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        self.ids, self.counts = ids.astype(np.int64), counts.astype(np.int64)
+        n, total = len(ids), int(self.counts.sum())
+        self.bits = 16 if n <= 4096 else 19
+        spare = (1 << self.bits) - n
+        share = 1 + self.counts * spare // max(total, 1)
+        share[:1] += (1 << self.bits) - share.sum()
+        self.share = share.astype(np.uint64)
+        self.first = (np.cumsum(share) - share).astype(np.uint64)
+        # how frequent an id is, in 16 classes; ids of no place (nothing predicted yet) are in the last
+        classes = np.full(_ID_MASK + 1, 15, dtype=np.int64)
+        classes[:n] = np.minimum(14, self.bits - np.floor(np.log2(share)).astype(np.int64))
+        self.classes = classes
+
+    def places(self) -> np.ndarray:
+        """The place of the id that each part of the range names."""
+        return np.repeat(np.arange(len(self.ids), dtype=np.uint16 if len(self.ids) < 1 << 16 else np.int32), self.share.astype(np.int64))
+
+    def pack(self) -> bytes:
+        """The file's head, with its checksum."""
+        order = np.argsort(self.ids)
+        ids = np.diff(self.ids[order], prepend=0)
+        packed = zlib.compress(np.concatenate((ids, self.counts[order])).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
+        return _FILE_HEAD.pack(HEAD_MAGIC, len(ids), len(packed), zlib.crc32(packed)) + packed
+
+    @classmethod
+    def of(cls, ids: np.ndarray, counts: np.ndarray) -> _Start:
+        """From ascending ids and how often each occurs."""
+        order = np.argsort(-counts.astype(np.int64), kind="stable")
+        return cls(ids[order], counts[order])
+
+    @classmethod
+    def unpack(cls, data: bytes) -> tuple[_Start, int]:
+        """The start of a file and where its blocks begin; damage raises ``ValueError``."""
+        if len(data) < _FILE_HEAD.size:
+            raise ValueError("a file without a head")
+        magic, n, size, crc = _FILE_HEAD.unpack_from(data)
+        packed = data[_FILE_HEAD.size : _FILE_HEAD.size + size]
+        if magic != HEAD_MAGIC or len(packed) < size or zlib.crc32(packed) != crc:
+            raise ValueError("the file's head doesn't match its checksum")
+        both = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, 2 * n).T.copy().view("<u4").ravel().astype(np.int64)
+        return cls.of(np.cumsum(both[:n]), both[n:]), _FILE_HEAD.size + size
 
 
-def _hash(x: np.ndarray) -> np.ndarray:
-    return ((x * 0x9E3779B1) & 0xFFFFFFFF) >> 21
+class _Model:
+    """What the blocks of a batch have learned so far, a lane each.
 
+    An id is coded as a hit of the guess or a miss. The guess is the id that
+    order 2 or order 1 predicts, whichever is surer. Its chance is a logistic
+    mixture: each of the orders 2, 1 and 0 has a vote, chosen by how sure it
+    is, whether the two agree, and how frequent the guess is; the votes learn
+    from each id's error.
+    """
 
-class _Model:
-    """What the blocks of a batch have learned so far, a row each."""
-
-    def __init__(self, lanes: int):
-        self.row = np.arange(lanes)
-        self.base = self.row * _SLOTS
-        size = lanes * _SLOTS
-        self.next1, self.next2 = np.full(size, -1, dtype=np.int64), np.full(size, -1, dtype=np.int64)
-        self.sure1, self.sure2 = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-        self.place = np.zeros(size, dtype=np.int64)
-        self.seen = np.full((lanes, BLOCK + 1), -1, dtype=np.int64)
-        self.count = np.zeros(lanes, dtype=np.int64)
-        self.often = np.zeros((lanes, BLOCK + 1), dtype=np.int64)
-        # chance of a hit by how sure a prediction is, for each order and decision
-        self.hit = np.full((6, lanes * 16), _ONE // 2, dtype=np.int64)
-        self.weight = np.full((2, 3, lanes), 22000, dtype=np.int64)
-        self.known = np.full(lanes, _ONE // 2, dtype=np.int64)
+    def __init__(self, lanes: int, classes: np.ndarray):
+        row = np.arange(lanes, dtype=np.int64)
+        self.classes = classes
+        self.slot0, self.vote0 = row << _SLOT_BITS, row << 5
+        self.next1, self.next2 = (np.full(lanes << _SLOT_BITS, _ID_MASK, dtype=np.int32) for _ in range(2))
+        self.votes = [np.zeros(lanes << 5, dtype=np.int16) for _ in range(3)]
+        for sure in range(16):  # order 2 and order 1 start from a plain guess of what being sure means
+            self.votes[2].reshape(lanes, 32)[:, 2 * sure : 2 * sure + 2] = -500 + 130 * min(sure, 6)
+            self.votes[1].reshape(lanes, 32)[:, 2 * sure : 2 * sure + 2] = -250 + 40 * min(sure, 6)
+        self.votes[0].reshape(lanes, 32)[:, 15] = -900
         self.before = np.zeros(lanes, dtype=np.int64)
-        self.before2 = np.zeros(lanes, dtype=np.int64)
-
-    def predict(self) -> None:
-        """Predicted ids and the ends of the cases' shares of 2**24."""
-        self.at1 = self.base + _hash(self.before + 1)
-        self.at2 = self.base + _hash(self.before * 65537 + self.before2 + 3)
-        self.p1, self.p2 = self.next1[self.at1], self.next2[self.at2]
-        s1, s2 = self.sure1[self.at1], self.sure2[self.at2]
-        self.same = self.p1 == self.p2
-        # how often order 0 has met the predicted ids
-        o2, o1 = self._met(self.p2), self._met(self.p1)
-        lane = self.row * 16
-        self.cells = ((lane + s2, lane + s1 * 2 % 16 + self.same, lane + o2), (lane + s1, lane + s2, lane + o1))
-        self.chances, self.inputs = [], []
-        for d in range(2):
-            inputs = [_STRETCH[self.hit[3 * d + i][c] >> 4] for i, c in enumerate(self.cells[d])]
-            dot = sum(w * x for w, x in zip(self.weight[d], inputs, strict=True)) >> 16
-            self.inputs.append(inputs)
-            self.chances.append(_SQUASH[np.clip(dot, -2048, 2047) + 2048])
-        a = np.where(self.p2 >= 0, self.chances[0] << 8, 0)
-        rest = (1 << 24) - a
-        b = np.where((self.p1 >= 0) & ~self.same, rest * self.chances[1] >> 16, 0)
-        rest = rest - b
-        self.ends = (a, a + b, a + b + (rest * np.clip(self.known, 1024, _ONE - 1024) >> 16))
-
-    def _met(self, ids: np.ndarray) -> np.ndarray:
-        r = self.place[self.base + _hash(ids + 7)]
-        n = np.where((self.seen[self.row, r] == ids) & (ids >= 0), self.often[self.row, r], 0)
-        return np.minimum(n, 15)
-
-    def rank(self, ids: np.ndarray) -> np.ndarray:
-        """Places of ids among those seen, -1 for new ones."""
-        r = self.place[self.base + _hash(ids + 7)]
-        return np.where(self.seen[self.row, r] == ids, r, -1)
-
-    def learn(self, ids: np.ndarray, case: np.ndarray, rank: np.ndarray, live: np.ndarray) -> None:
-        """Take in the ids of ``live`` rows, coded as ``case``."""
-        for d, asked in enumerate((live & (self.p2 >= 0), live & (case > 0) & (self.p1 >= 0) & ~self.same)):
-            hit = (case == d).astype(np.int64) << 16
-            error = np.where(asked, hit - self.chances[d], 0)
-            for i in range(3):
-                self.weight[d, i] += self.inputs[d][i] * error >> 14
-                cell = self.cells[d][i]
-                table = self.hit[3 * d + i]
-                old = table[cell]
-                table[cell] = old + np.where(asked, (hit - old) >> 4, 0)
-        asked = live & (case > 1)
-        self.known += np.where(asked, ((case == 2).astype(np.int64) * _ONE - self.known) >> 4, 0)
-        for after, sure, at, p in ((self.next1, self.sure1, self.at1, self.p1), (self.next2, self.sure2, self.at2, self.p2)):
-            right = p == ids
-            s = sure[at]
-            grown = np.where(right, np.minimum(s + 1, 7), s >> 1)
-            sure[at] = np.where(live, grown, s)
-            after[at] = np.where(live & ~right & (s < 2), ids, p)
-        new = live & (rank < 0)
-        r = np.where(rank < 0, self.count, rank)
-        slot = self.base + _hash(ids + 7)
-        self.place[slot] = np.where(live, r, self.place[slot])
-        self.seen[self.row, r] = np.where(new, ids, self.seen[self.row, r])
-        self.often[self.row, r] += live
-        self.count += new
-        self.before2 = np.where(live, self.before, self.before2)
-        self.before = np.where(live, ids, self.before)
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Encode blocks of at most ``BLOCK`` ids; each result has its header."""
-    lanes = len(blocks)
-    size = np.array([len(b) for b in blocks])
-    ids = np.zeros((int(size.max(initial=0)), lanes), dtype=np.int64)
-    for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    m = _Model(lanes)
+        self.hashed, self.hashed2 = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """The guessed place and its chance in 16 bits."""
+        at1 = self.before & _SLOT_MASK
+        at1 += self.slot0
+        at2 = self.hashed * 5
+        at2 += self.hashed2
+        at2 >>= 10
+        at2 &= _SLOT_MASK
+        at2 += self.slot0
+        e1, e2 = self.next1.take(at1).astype(np.int64), self.next2.take(at2).astype(np.int64)
+        self.at1, self.at2, self.e1, self.e2 = at1, at2, e1, e2
+        self.p1, self.p2 = e1 & _ID_MASK, e2 & _ID_MASK
+        guess = e2 + 2 * _STEP  # of two that are alike sure, the longer context
+        np.maximum(guess, e1, out=guess)
+        guess &= _ID_MASK
+        agree = self.vote0 + (self.p1 == self.p2)
+        v0, v1, v2 = self.classes.take(guess), e1 >> _ID_BITS, e2 >> _ID_BITS
+        v0 += self.vote0
+        v1 += v1
+        v1 += agree
+        v2 += v2
+        v2 += agree
+        self.at = (v0, v1, v2)
+        self.x = x0, x1, x2 = self.votes[0].take(v0), self.votes[1].take(v1), self.votes[2].take(v2)
+        total = x0 + x1
+        total += x2
+        np.minimum(total, _LIMIT, out=total)
+        np.maximum(total, -_LIMIT, out=total)
+        self.chance = _SQUASH.take(total)  # negative sums count from the table's end
+        return guess, self.chance
+
+    def learn(self, now: np.ndarray, hit: np.ndarray) -> None:
+        """Take in the place of every lane's id; lanes that have ended may learn anything."""
+        error = hit * _ONE
+        error -= self.chance
+        error >>= 11
+        error = error.astype(np.int16)
+        for table, at, x in zip(self.votes, self.at, self.x, strict=True):
+            x += error
+            table[at] = x
+        for table, at, e, p in ((self.next1, self.at1, self.e1, self.p1), (self.next2, self.at2, self.e2, self.p2)):
+            # a step surer if right, else less sure; where nothing is left, the id takes the place
+            right = (p == now).astype(np.int64)
+            right <<= _ID_BITS + 1
+            right -= _STEP
+            e += right
+            gone = e >> 63
+            p ^= now  # e's low bits are p
+            p &= gone
+            gone &= _STEP
+            e += gone
+            e ^= p
+            np.right_shift(e, _ID_BITS + 4, out=gone)
+            gone <<= _ID_BITS
+            e -= gone
+            table[at] = e.astype(np.int32)
+        self.hashed2 = self.hashed
+        self.hashed = now * 40503
+        self.before = now
+
+
+def _blocks_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes of ``BLOCK`` ids by column, longest first, and their sizes."""
+    lanes = -(-len(ids) // BLOCK)
+    padded = np.zeros(lanes * BLOCK, dtype=np.int64)
+    padded[: len(ids)] = ids
+    size = np.minimum(BLOCK, len(ids) - np.arange(lanes) * BLOCK)
+    return np.ascontiguousarray(padded.reshape(lanes, BLOCK).T[: int(size.max(initial=0))]), size
+
+
+def encode_blocks(start: _Start, places: np.ndarray) -> list[bytes]:
+    """Payloads of the blocks of ``places`` (ids as places in ``start``)."""
+    grid, size = _blocks_of(places)
+    lanes = len(size)
+    m = _Model(lanes, start.classes)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
-    out, used = np.zeros((lanes, BLOCK * 8 + 16), dtype=np.uint8), np.zeros(lanes, dtype=np.int64)
-
-    def narrow(rows: np.ndarray, start: np.ndarray, span: np.ndarray, total) -> None:
-        unit = width[rows] // total
-        lo, w = low[rows] + unit * start, unit * span
-        while True:
-            same = (lo ^ (lo + w)) < _TOP
-            need = same | (w < _BOTTOM)
-            if not need.any():
-                break
-            w = np.where(need & ~same, (np.uint64(0) - lo) & (_BOTTOM - np.uint64(1)), w)
-            go = np.flatnonzero(need)
-            r = rows[go]
-            out[r, used[r]] = (lo[go] >> _56).astype(np.uint8)
-            used[r] += 1
-            lo[go] <<= _8
-            w[go] <<= _8
-        low[rows], width[rows] = lo, w
-
-    for t in range(len(ids)):
-        live = t < size
-        now = ids[t]
-        m.predict()
-        rank = m.rank(now)
-        case = np.where(now == m.p2, 0, np.where((now == m.p1) & ~m.same, 1, np.where(rank >= 0, 2, 3)))
-        a, b, c = m.ends
-        start = np.choose(case, (np.zeros_like(a), a, b, c))
-        end = np.choose(case, (a, b, c, np.full_like(a, 1 << 24)))
-        rows = np.flatnonzero(live)
-        narrow(rows, start[rows].astype(np.uint64), (end - start)[rows].astype(np.uint64), np.uint64(1 << 24))
-        rows = np.flatnonzero(live & (case > 1))
-        if len(rows):
-            old = case[rows] == 2
-            narrow(rows, np.where(old, rank[rows], now[rows]).astype(np.uint64), np.uint64(1), np.where(old, m.count[rows], 1 << ID_BITS).astype(np.uint64))
-        m.learn(now, case, rank, live)
-    for _ in range(8):
-        out[m.row, used] = (low >> _56).astype(np.uint8)
+    out, used = np.zeros((BLOCK * 3 // 2 + 8) * lanes, dtype=np.int64), np.arange(lanes) * (BLOCK * 3 // 2 + 8)
+    begin, bits = used.copy(), np.uint64(start.bits)
+    least = int(size.min())
+    for t in range(len(grid)):
+        now = grid[t]
+        guess, chance = m.predict()
+        hit = guess == now
+        miss = hit - _1  # all bits where the guess is wrong
+        unit = width >> _16
+        unit *= chance.view(np.uint64)
+        rest = width - unit
+        rest >>= bits
+        add = start.first.take(now)
+        add *= rest
+        add += unit
+        add &= miss
+        rest *= start.share.take(now)
+        rest ^= unit
+        rest &= miss
+        rest ^= unit
+        if t >= least:  # lanes that have ended stay as they are
+            over = t >= size
+            np.copyto(rest, width, where=over)
+            np.copyto(add, _0, where=over)
+        width = rest
+        low += add
+        over = low < add
+        if over.any():
+            out[used[over] - 1] += 1
+        full = np.flatnonzero(width < _BOTTOM)
+        if len(full):
+            x = low.take(full)
+            at = used.take(full)
+            out[at] = (x >> _32).view(np.int64)
+            at += 1
+            used[full] = at
+            x <<= _32
+            low[full] = x
+            width[full] = width.take(full) << _32
+        m.learn(now, hit)
+    for _ in range(2):
+        out[used] = (low >> _32).view(np.int64)
         used += 1
-        low <<= _8
-    return [_HEAD.pack(MAGIC, len(b), int(n), zlib.crc32(np.asarray(b, dtype="<u4").tobytes())) + out[i, :n].tobytes() for i, (b, n) in enumerate(zip(blocks, used, strict=True))]
-
-
-def split_blocks(data: bytes) -> list[tuple[int, int, bytes]]:
-    """Ids, checksum and payload of each block of a file."""
-    found, at = [], 0
-    while at < len(data):
-        magic, n, size, crc = _HEAD.unpack_from(data, at)
-        if magic != MAGIC or at + _HEAD.size + size > len(data):
-            raise ValueError(f"no block at byte {at}")
-        found.append((n, crc, data[at + _HEAD.size : at + _HEAD.size + size]))
-        at += _HEAD.size + size
+        low <<= _32
+    found = []
+    for a, b in zip(begin.tolist(), used.tolist(), strict=True):
+        words = out[a:b]
+        while True:  # carries run to the front
+            over = np.flatnonzero(words >> 32)
+            if not len(over):
+                break
+            words[over] &= 0xFFFFFFFF
+            words[over - 1] += 1
+        found.append(words.astype("<u4").tobytes())
     return found
 
 
-def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
+def decode_blocks(start: _Start, blocks: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
     """The ids of blocks; a checksum that doesn't fit raises ``ValueError``."""
     lanes = len(blocks)
     size = np.array([n for n, _, _ in blocks])
-    if size.max(initial=0) > BLOCK:
-        raise ValueError("a block with too many ids")
-    data = np.zeros((lanes, max((len(p) for _, _, p in blocks), default=0) + 32), dtype=np.uint8)
+    if size.max(initial=0) > BLOCK or any(len(p) % 4 for _, _, p in blocks):
+        raise ValueError("a block of a wrong size")
+    longest = max((len(p) // 4 for _, _, p in blocks), default=0) + 3
+    words = np.zeros((lanes, longest), dtype="<u4")
     for i, (_, _, p) in enumerate(blocks):
-        data[i, : len(p)] = np.frombuffer(p, dtype=np.uint8)
-    m = _Model(lanes)
-    low, width, code = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64), np.zeros(lanes, dtype=np.uint64)
-    used, last = np.zeros(lanes, dtype=np.int64), data.shape[1] - 1
-    for i in range(8):
-        code = code << _8 | data[:, i].astype(np.uint64)
-    used += 8
-
-    def narrow(rows: np.ndarray, unit: np.ndarray, start: np.ndarray, span: np.ndarray) -> None:
-        lo, w, c = low[rows] + unit * start, unit * span, code[rows]
-        while True:
-            same = (lo ^ (lo + w)) < _TOP
-            need = same | (w < _BOTTOM)
-            if not need.any():
-                break
-            w = np.where(need & ~same, (np.uint64(0) - lo) & (_BOTTOM - np.uint64(1)), w)
-            go = np.flatnonzero(need)
-            r = rows[go]
-            c[go] = c[go] << _8 | data[r, np.minimum(used[r], last)].astype(np.uint64)
-            used[r] += 1
-            lo[go] <<= _8
-            w[go] <<= _8
-        low[rows], width[rows], code[rows] = lo, w, c
-
-    out = np.zeros((int(size.max(initial=0)), lanes), dtype=np.int64)
+        words[i, : len(p) // 4] = np.frombuffer(p, dtype="<u4")
+    words = words.ravel().astype(np.uint64)
+    begin = np.arange(lanes) * longest
+    used = begin + 2
+    code, width = words[begin] << _32 | words[begin + 1], np.full(lanes, 2**64 - 1, dtype=np.uint64)
+    m, names = _Model(lanes, start.classes), start.places()
+    bits, most = np.uint64(start.bits), np.uint64((1 << start.bits) - 1)
+    out = np.zeros((int(size.max(initial=0)), lanes), dtype=np.int32)
     for t in range(len(out)):
-        live = t < size
-        m.predict()
-        a, b, c = m.ends
-        rows = np.flatnonzero(live)
-        unit = width[rows] // np.uint64(1 << 24)
-        at = np.minimum((code[rows] - low[rows]) // np.maximum(unit, np.uint64(1)), np.uint64((1 << 24) - 1)).astype(np.int64)
-        case = np.full(lanes, 3)
-        case[rows] = (at >= a[rows]).astype(np.int64) + (at >= b[rows]) + (at >= c[rows])
-        start = np.choose(case, (np.zeros_like(a), a, b, c))
-        end = np.choose(case, (a, b, c, np.full_like(a, 1 << 24)))
-        narrow(rows, unit, start[rows].astype(np.uint64), (end - start)[rows].astype(np.uint64))
-        now = np.where(case == 0, m.p2, m.p1)
-        rank = np.full(lanes, -1)
-        rows = np.flatnonzero(live & (case > 1))
-        if len(rows):
-            old = case[rows] == 2
-            total = np.where(old, np.maximum(m.count[rows], 1), 1 << ID_BITS).astype(np.uint64)
-            unit = width[rows] // total
-            got = np.minimum((code[rows] - low[rows]) // np.maximum(unit, np.uint64(1)), total - np.uint64(1))
-            narrow(rows, unit, got, np.uint64(1))
-            place = got.astype(np.int64)
-            now[rows] = np.where(old, m.seen[rows, np.minimum(place, BLOCK)], place)
-        now = np.where(live, now, 0)
-        rank = m.rank(now)
-        m.learn(now, case, rank, live)
+        guess, chance = m.predict()
+        unit = width >> _16
+        unit *= chance.view(np.uint64)
+        hit = code < unit
+        miss = hit - _1  # all bits where the guess is wrong
+        rest = width - unit
+        rest >>= bits
+        code -= unit & miss
+        at = code // rest
+        np.minimum(at, most, out=at)
+        now = names.take(at.view(np.int64)).astype(np.int64)
+        less = start.first.take(now)
+        less *= rest
+        less &= miss
+        code -= less
+        rest *= start.share.take(now)
+        rest ^= unit
+        rest &= miss
+        rest ^= unit
+        width = rest
+        now ^= guess
+        now &= miss.view(np.int64)
+        now ^= guess
+        few = np.flatnonzero(width < _BOTTOM)
+        if len(few):
+            at = used.take(few)
+            x = code.take(few)
+            x <<= _32
+            x |= words.take(at, mode="clip")
+            code[few] = x
+            at += 1
+            used[few] = at
+            width[few] = width.take(few) << _32
+        m.learn(now, hit)
         out[t] = now
     found = []
+    got_ids = np.append(start.ids, 0).astype("<u4").take(np.ascontiguousarray(out.T), mode="clip")
     for i, (n, crc, _) in enumerate(blocks):
-        ids = out[:n, i].astype("<u4")
-        if zlib.crc32(ids.tobytes()) != crc:
+        got = got_ids[i, :n]
+        if zlib.crc32(got.tobytes()) != crc:
             raise ValueError(f"block {i} doesn't match its checksum")
-        found.append(ids)
+        found.append(got)
+    return found
+
+
+def split_blocks(data: bytes, at: int = 0) -> list[tuple[int, int, bytes]]:
+    """Ids, checksum and payload of each block of a file, from byte ``at`` on."""
+    found = []
+    while at < len(data):
+        if at + _BLOCK_HEAD.size > len(data):
+            raise ValueError(f"no block at byte {at}")
+        magic, n, size, crc = _BLOCK_HEAD.unpack_from(data, at)
+        if magic != MAGIC or at + _BLOCK_HEAD.size + size > len(data):
+            raise ValueError(f"no block at byte {at}")
+        found.append((n, crc, data[at + _BLOCK_HEAD.size : at + _BLOCK_HEAD.size + size]))
+        at += _BLOCK_HEAD.size + size
     return found
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
-    """A file's bytes: the blocks of ``ids`` in order."""
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    return b"".join(x for i in range(0, len(blocks), LANES) for x in encode_blocks(blocks[i : i + LANES]))
+    """A file's bytes: its head, then the blocks of ``ids`` in order."""
+    ids = np.asarray(ids, dtype=np.uint32)
+    counts = np.bincount(ids, minlength=1)
+    named = np.flatnonzero(counts)
+    if len(counts) > 1 << _ID_BITS or len(named) >= _ID_MASK:
+        raise ValueError(f"ids must be below 2**{_ID_BITS}, and not all of them in one file")
+    start = _Start.of(named, counts[named])
+    place = np.zeros(len(counts), dtype=np.int64)
+    place[start.ids] = np.arange(len(start.ids))
+    out = [start.pack()]
+    for a in range(0, len(ids), BLOCK * LANES):
+        part = ids[a : a + BLOCK * LANES]
+        for i, payload in enumerate(encode_blocks(start, place[part])):
+            own = part[i * BLOCK : (i + 1) * BLOCK]
+            out += [_BLOCK_HEAD.pack(MAGIC, len(own), len(payload), zlib.crc32(own.astype("<u4").tobytes())), payload]
+    return b"".join(out)
 
 
 def decode_ids(data: bytes) -> np.ndarray:
     """The ids of a file's bytes."""
-    blocks = split_blocks(data)
-    parts = [x for i in range(0, len(blocks), LANES) for x in decode_blocks(blocks[i : i + LANES])]
+    start, at = _Start.unpack(data)
+    blocks = split_blocks(data, at)
+    parts = [x for i in range(0, len(blocks), LANES) for x in decode_blocks(start, blocks[i : i + LANES])]
     return np.concatenate(parts) if parts else np.zeros(0, dtype="<u4")
 
 
 #: Fixed value: the pattern by which byte-level BPE cuts a text before merging.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-#: Words whose ids a worker remembers.
-KEEP = 400_000
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: Words that a worker remembers, and characters of a word that is remembered.
+KEEP, KEEP_CHARS = 1 << 20, 64
+_PLACES = 1 << 21
+
+
+def _classes() -> np.ndarray:
+    """Class of each code point: 0 space, 1 letter, 2 number, 3 other."""
+    points = np.arange(0x110000, dtype="<u4")
+    points = points[(points < 0xD800) | (points > 0xDFFF)]
+    every = points.tobytes().decode("utf-32-le")
+    found = np.full(0x110000, 3, dtype=np.uint8)
+    for k, kind in enumerate((r"\p{White_Space}+", r"\p{L}+", r"\p{N}+")):
+        for m in regex.finditer(kind, every):
+            found[points[m.start() : m.end()]] = k
+    return found
+
+
+def word_starts(points: np.ndarray, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where ``_PATTERN`` begins a word; ``first`` are the starts of the texts that are not empty."""
+    n = len(points)
+    kind = classes[points]
+    new = np.empty(n, dtype=bool)
+    new[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=new[1:])
+    new[first] = True
+    runs = np.flatnonzero(new)
+    runs = np.append(runs, n)
+    begin, end, k = runs[:-1], runs[1:], kind[runs[:-1]]
+    opens = np.zeros(n + 1, dtype=bool)
+    opens[first] = True
+    opens[n] = True
+    # of spaces before something else, the last stands alone; a blank belongs to what follows
+    space = np.flatnonzero((k == 0) & ~opens[end])
+    last = end[space] - 1
+    new[last] = True
+    new[last[points[last] == 32] + 1] = False
+    # contractions: an apostrophe that begins a word, and the letters that belong to it
+    quote = np.flatnonzero((k == 3) & (points[begin] == 39) & (end - begin == 1) & ~opens[end] & new[begin])
+    if len(quote):
+        at = begin[quote]
+        stop = np.where(quote + 1 < len(begin), end[np.minimum(quote + 1, len(end) - 1)], at)  # the letters' end
+        one = points[np.minimum(at + 1, n - 1)]
+        two = np.where(at + 2 < stop, points[np.minimum(at + 2, n - 1)], 0)
+        size = np.where(np.isin(one, _codes("stmd")), 1, 0)
+        for pair in ("re", "ve", "ll"):
+            size[(one == ord(pair[0])) & (two == ord(pair[1]))] = 2
+        at, size, stop = at[size > 0], size[size > 0], stop[size > 0]
+        new[at + 1] = False
+        cut = at + 1 + size
+        new[cut[cut < stop]] = True
+    return np.flatnonzero(new)
+
+
+def _codes(text: str) -> list[int]:
+    return [ord(c) for c in text]
 
 
 class WordTokenizer:
-    """The ``tokenizers`` library over a text's words, each word encoded once.
+    """The ``tokenizers`` library over a text's words, each different word encoded once.
 
     Byte-level BPE never merges across words, so a text's ids are those of its
-    words in order. Added tokens are cut out first, as the library does.
+    words in order. The words are found and looked up in numpy; the library
+    encodes those not met before. Words are known by 64 bits of a hash; those
+    of over ``KEEP_CHARS`` characters are encoded anew. Texts with added
+    tokens go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -305,30 +444,159 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.added = {k: (i,) for k, i in added.items()}
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def split(self, text: str) -> list[str]:
-        """The words and added tokens of a text."""
-        if self.special is None or not any(t in text for t in self.added):
-            return _WORDS.findall(text)
-        return [w for i, part in enumerate(self.special.split(text)) for w in ([part] if i % 2 else _WORDS.findall(part))]
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
-        words = [self.split(t) for t in texts]
-        new = {w for ws in words for w in ws if w not in self.known}
-        if len(self.known) + len(new) > KEEP:
-            self.known.clear()
-            new = {w for ws in words for w in ws}
-        if new:
-            ordered = list(new)
-            self.known |= self.added
-            self.known |= zip(ordered, (tuple(e.ids) for e in self.library.encode_batch_fast(ordered, add_special_tokens=False)), strict=True)
-        find = self.known.__getitem__
-        return [list(chain.from_iterable(map(find, ws))) for ws in words]
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.classes = _classes()
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # bytes of each id: a character of its name is a byte
+        for name, i in vocab.items():
+            self.width[i] = len(name)
+        keys = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = int(keys[0])
+        self.inverse = pow(self.base, -1, 2**64)
+        self.salt = keys[1]
+        self.powers = self.back = np.ones(1, dtype=np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words."""
+        self.keys, self.values = np.zeros(_PLACES, dtype=np.uint64), np.zeros(_PLACES, dtype=np.int64)
+        self.ids, self.n_ids, self.n = np.zeros(1 << 16, dtype=np.uint32), 0, 0
+
+    def _hashes(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        n = len(points)
+        if len(self.powers) < n + 1:
+            steps = np.full(n + 1, self.base, dtype=np.uint64), np.full(n + 1, self.inverse, dtype=np.uint64)
+            for s in steps:
+                s[0] = 1
+            self.powers, self.back = (np.multiply.accumulate(s) for s in steps)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((points + self.salt) * self.powers[:n], out=sums[1:])
+        h = mix64((sums[end] - sums[start]) * self.back[start] + (end - start).view(np.uint64) * self.salt)
+        return np.maximum(h, np.uint64(1))
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Values of known words, -1 for others."""
+        found = np.full(len(h), -1, dtype=np.int64)
+        todo, at = np.arange(len(h)), (h >> np.uint64(43)).view(np.int64)
+        while len(todo):
+            key = self.keys[at]
+            hit = key == h[todo]
+            found[todo[hit]] = self.values[at[hit]]
+            more = ~hit & (key != 0)
+            todo, at = todo[more], (at[more] + 1) & (_PLACES - 1)
+        return found
+
+    def _add(self, h: np.ndarray, value: np.ndarray) -> None:
+        """Remember different words."""
+        todo, at = np.arange(len(h)), (h >> np.uint64(43)).view(np.int64)
+        while len(todo):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[todo[free]]
+            own = self.keys[at] == h[todo]
+            self.values[at[own]] = value[todo[own]]
+            todo, at = todo[~own], (at[~own] + 1) & (_PLACES - 1)
+        self.n += len(h)
+
+    def _store(self, ids: np.ndarray) -> int:
+        """Append ids; returns where they begin."""
+        at, self.n_ids = self.n_ids, self.n_ids + len(ids)
+        if self.n_ids > len(self.ids):
+            self.ids = np.concatenate((self.ids[:at], np.zeros(self.n_ids, dtype=np.uint32)))
+        self.ids[at : self.n_ids] = ids
+        return at
+
+    def _encode_words(self, text: str, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at ``start`` to ``end``, one after the other, and how many each has.
+
+        Words go to the library in lines: one that begins with a blank may
+        follow any other, a line break goes before the rest, and the ids'
+        widths in bytes tell where words end. Words of spaces go alone.
+        """
+        counts = np.zeros(len(start), dtype=np.int64)
+        parts: list[np.ndarray] = []
+        places: list[np.ndarray] = []
+        alone = self.classes[points[end - 1]] == 0
+        blank = points[start] == 32
+        widths = np.zeros(len(points) + 1, dtype=np.int64)
+        np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF), out=widths[1:])
+        size = widths[end] - widths[start]
+        words = [text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        joined, left = np.flatnonzero(~alone), [np.flatnonzero(alone)]
+        groups = [joined[i : i + 512] for i in range(0, len(joined), 512)]
+        lines = ["".join([words[i] if b else "\n" + words[i] for i, b in zip(g.tolist(), blank[g].tolist(), strict=True)]) for g in groups]
+        for g, e in zip(groups, self.library.encode_batch_fast(lines, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=np.uint32)
+            ends = np.cumsum(self.width[ids])
+            stop = np.cumsum(size[g] + ~blank[g])
+            last = np.minimum(np.searchsorted(ends, stop), len(ids) - 1)
+            first = np.concatenate(([0], last[:-1] + 1)) + ~blank[g]
+            if ends[-1] != stop[-1] or (ends[last] != stop).any() or (ends[first[first > 0] - 1] != (stop - size[g])[first > 0]).any():
+                left.append(g)  # the line wasn't cut where its words end
+                continue
+            counts[g] = last + 1 - first
+            keep = np.ones(len(ids), dtype=bool)
+            keep[first[~blank[g]] - 1] = False
+            parts.append(ids[keep])
+            places.append(g)
+        for g in left:
+            for i, e in zip(g.tolist(), self.library.encode_batch_fast([words[i] for i in g.tolist()], add_special_tokens=False) if len(g) else (), strict=True):
+                parts.append(np.array(e.ids, dtype=np.uint32))
+                places.append(np.array([i]))
+                counts[i] = len(e.ids)
+        ids = np.concatenate([np.zeros(0, dtype=np.uint32), *parts])
+        order = np.concatenate([np.zeros(0, dtype=np.int64), *places])
+        # from the order of encoding to that of the words
+        from_ = np.zeros(len(start), dtype=np.int64)
+        from_[order] = np.cumsum(counts[order]) - counts[order]
+        before = np.cumsum(counts) - counts
+        return ids[np.repeat(from_ - before, counts) + np.arange(len(ids))], counts
+
+    def encode_texts(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of UTF-8 texts that end at ``ends``, one after the other, and how many each has."""
+        text = data.decode("utf-8", "surrogatepass")
+        if any(t in text for t in self.added):
+            starts = [0, *ends[:-1].tolist()]
+            whole = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts, ends.tolist(), strict=True)]
+            got = [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(whole, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, dtype=np.uint32), *got]), np.array([len(x) for x in got], dtype=np.int64)
+        if not len(text):
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(ends), dtype=np.int64)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        if len(points) != len(data):  # ends in characters
+            leads = np.zeros(len(data) + 1, dtype=np.int64)
+            np.cumsum((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80, out=leads[1:])
+            ends = leads[ends]
+        begin = np.concatenate(([0], ends[:-1]))
+        start = word_starts(points, self.classes, begin[begin < ends])
+        end = np.append(start[1:], len(points))
+        h = self._hashes(points, start, end)
+        value = self._find(h)
+        if self.n > KEEP:
+            self.clear()
+            value[:] = -1
+        short = end - start <= KEEP_CHARS
+        missing = np.flatnonzero((value < 0) & short)
+        if len(missing):
+            new, which, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            which = missing[which]
+            ids, counts = self._encode_words(text, points, start[which], end[which])
+            made = (self._store(ids) + np.cumsum(counts) - counts) << 16 | counts
+            self._add(new, made)
+            value[missing] = made[back]
+        kept, long = self.n_ids, np.flatnonzero(~short)
+        if len(long):
+            ids, counts = self._encode_words(text, points, start[long], end[long])
+            at = self._store(ids) + np.cumsum(counts) - counts
+        else:
+            at = counts = np.zeros(0, dtype=np.int64)
+        first, size = value >> 16, value & 0xFFFF
+        first[long], size[long] = at, counts
+        before = np.cumsum(size) - size
+        total = int(size.sum())
+        ids = self.ids[np.repeat(first - before, size) + np.arange(total)]
+        self.n_ids = kept
+        upto = np.concatenate((before, [total]))[np.searchsorted(start, np.concatenate(([0], ends)))]
+        return ids, np.diff(upto)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -359,17 +627,22 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
         def emit() -> pa.RecordBatch:
             counts, parts, keys = [], [], []
             for b in held:
-                keys += b.column(0).to_pylist()
-                texts = b.column(1).to_pylist()
-                for i in range(0, len(texts), 256):
-                    for ids in t.encode_batch(texts[i : i + 256]):
-                        ids.append(end_id)
-                        counts.append(len(ids))
-                        parts.append(np.array(ids, dtype=np.uint32))
-            data = encode_ids(np.concatenate(parts))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([sum(counts)], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["part", "file", "n", "docs", "counts", "data"])
-
-        for batch in pieces(batches, "text", chunk // 4):
+                keys.append(b.column(0))
+                data, ends = text_bytes(b.column(1))
+                ids, n = t.encode_texts(data, ends)
+                at = np.cumsum(n + 1) - 1  # each document's end id
+                own = np.full(len(ids) + len(n), end_id, dtype=np.uint32)
+                body = np.ones(len(own), dtype=bool)
+                body[at] = False
+                own[body] = ids
+                parts.append(own)
+                counts.append(n + 1)
+            ids = np.concatenate(parts)
+            size = len(ids)
+            docs = pa.ListArray.from_arrays(pa.array([0, sum(map(len, keys))], pa.int32()), pa.concat_arrays(keys))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([size], pa.int64()), docs, pa.array([np.concatenate(counts)], pa.list_(pa.int64())), pa.array([encode_ids(ids)], pa.binary())], names=["part", "file", "n", "docs", "counts", "data"])
+
+        for batch in pieces(batches, "text", 1 << 20):
             held.append(batch)
             size += batch.column(1).nbytes
             if size >= chunk:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,10 +221,16 @@ def test_token_coder(spark, odd, empty):
     for ids in (np.zeros(0, int), np.array([5]), rng.integers(0, 1 << 17, 5000), np.tile([1, 2, 3], 900)):
         data = token_coder.encode_ids(ids)
         assert (token_coder.decode_ids(data) == ids).all()
-    broken = bytearray(token_coder.encode_ids(np.arange(3000)))
-    broken[40] ^= 1
-    with pytest.raises(ValueError):
-        token_coder.decode_ids(bytes(broken))
+    data = token_coder.encode_ids(np.arange(9000) % 700)
+    start, at = token_coder._Start.unpack(data)
+    for place in (at // 2, len(data) - 9):  # in the head, and in the last block
+        broken = bytearray(data)
+        broken[place] ^= 1
+        with pytest.raises(ValueError):
+            token_coder.decode_ids(bytes(broken))
+    blocks = token_coder.split_blocks(bytes(broken), at)  # the blocks before it are whole
+    good = token_coder.decode_blocks(start, blocks[:-1])
+    assert (np.concatenate(good) == np.arange(9000)[: sum(map(len, good))] % 700).all()
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_file("byte_bpe_50k.json")
@@ -238,6 +245,29 @@ def test_token_coder(spark, odd, empty):
     assert token_coder.read_tokens(spark, token_coder.write_tokens(empty, path)).count() == 0
 
 
+def test_token_coder_beats_order_0():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").slice(0, 300)["text"].to_pylist()
+    ids = np.array([i for x in texts for i in [*t.encode(x or "", add_special_tokens=False).ids, 2]])
+    share = np.bincount(ids)[ids] / len(ids)
+    assert 8 * len(token_coder.encode_ids(ids)) < -np.log2(share).sum()
+
+
+def test_word_tokenizer_against_library():
+    rnd = random.Random(3)
+    t = token_coder.WordTokenizer(queries.tokenizer_file("byte_bpe_50k.json"))
+    texts = ["", "don't I'll we're 'tis ''s 's it's's", "\n\n a\n b \t c", "é ñ 日本語 १२३ ½ x²", "'", " 's", "'d've", "ab" * 100 + " " + "x" * 70, "   ", "a\u00a0\u2028 b", "<|endoftext|> a", "'s'll", "end  "]
+    texts += ["".join(rnd.choice(" \n\t'stmdrevl1é.,\u3000A") for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    for at in range(0, len(texts), 50):
+        part = texts[at : at + 50]
+        data = [x.encode() for x in part]
+        ids, n = t.encode_texts(b"".join(data), np.cumsum([len(x) for x in data]))
+        want = [e.ids for e in t.library.encode_batch(part, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
 def brute_components(rows, n, percent):
     lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     sets = {}
