@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,13 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent (local tests) a folder of our own is made.
+    Only where the setting is absent and Spark runs in one process (tests) a
+    folder of our own is made; on a cluster its absence is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = got.get() if got.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -92,10 +96,26 @@ def text_bytes(texts: pa.Array) -> tuple[bytes, np.ndarray]:
     return texts.buffers()[2].slice(first, int(ends[-1])).to_pybytes() if ends[-1] else b"", ends
 
 
+def _settle() -> None:
+    """Give memory that a task no longer uses back to the system: workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow``, with this package made importable on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _settle()
+
+    return df.mapInArrow(run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
