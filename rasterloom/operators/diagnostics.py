@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from rasterloom.functions.pixel import CB, CR, GRAY, SAT, clip, fdiv, gaussian, num, rint, rounded
-from rasterloom.operators.relation import KEY, blur, box, extreme, laplacian3, sub
+from rasterloom.functions.pixel import CB, CR, GRAY, SAT, byte, clip, fdiv, gaussian, num, rint, rounded
+from rasterloom.operators.relation import KEY, blur, box, extreme, laplacian3, stage, sub
+from rasterloom.operators.resample import area, crop, resize
 
 
 def gray(t: str) -> str:
@@ -37,7 +38,7 @@ def chroma_noise(t: str) -> str:
 
 def blur_score(t: str) -> str:
     """Softness from the variance and the strongest responses of the Laplacian."""
-    lap = sub(laplacian3(t, "g"))
+    lap = stage(laplacian3(t, "g"))
     ranked = sub(f"SELECT image_id, abs(lap) AS a, row_number() OVER (PARTITION BY image_id ORDER BY abs(lap) DESC, y, x) AS rn, count(*) OVER (PARTITION BY image_id) AS n FROM {lap} l")
     top = sub(f"SELECT image_id, CAST(sum(a) AS DOUBLE) / count(*) AS top FROM {ranked} r WHERE rn <= greatest(16, CAST(floor(n * 0.001e0) AS INT)) GROUP BY image_id")
     s1, s2 = "CAST(sum(CAST(lap AS BIGINT)) AS DOUBLE)", "CAST(sum(CAST(lap AS BIGINT) * lap) AS DOUBLE)"
@@ -66,11 +67,11 @@ def illuminant(t: str) -> str:
 
     m = sub(f"SELECT image_id, {mean('b')} AS mb, {mean('g')} AS mg, {mean('r')} AS mr FROM {t} GROUP BY image_id")
     n = sub(f"SELECT image_id, (mr / norm) / (mb / norm + 1e-5) AS rb, (mg / norm) / ((mr / norm + mb / norm) * 0.5e0 + 1e-5) AS gm FROM (SELECT *, sqrt(mb * mb + mg * mg + mr * mr) + 1e-6 AS norm FROM {m} m) k")
-    warm = f"(-CAST({clip('(rb - 1e0) * 35e0', 5, 50)} AS INT))"
-    cool = f"CAST({clip('(1e0 - rb) * 35e0', 5, 50)} AS INT)"
+    warm = f"(-CAST(floor({clip('(rb - 1e0) * 35e0', 5, 50)}) AS INT))"
+    cool = f"CAST(floor({clip('(1e0 - rb) * 35e0', 5, 50)}) AS INT)"
     return f"""SELECT image_id, {rounded('rb', 4)} AS rb, {rounded('gm', 4)} AS gm,
         CASE WHEN rb > 1.15e0 THEN {warm} WHEN rb < 0.85e0 THEN {cool} ELSE 0 END AS color_cast_kelvin,
-        CASE WHEN gm > 1.08e0 THEN CAST({clip('(gm - 1e0) * 45e0', 5, 40)} AS INT) WHEN gm < 0.92e0 THEN CAST({clip('(gm - 1e0) * 45e0', -40, -5)} AS INT) ELSE 0 END AS color_tint_offset,
+        CASE WHEN gm > 1.08e0 THEN CAST(floor({clip('(gm - 1e0) * 45e0', 5, 40)}) AS INT) WHEN gm < 0.92e0 THEN CAST(ceil({clip('(gm - 1e0) * 45e0', -40, -5)}) AS INT) ELSE 0 END AS color_tint_offset,
         CASE WHEN rb > 1.15e0 THEN 'Warm' WHEN rb < 0.85e0 THEN 'Cool' WHEN gm > 1.08e0 THEN 'Green' WHEN gm < 0.92e0 THEN 'Magenta' ELSE 'Neutral' END AS color_cast_name FROM {n} n"""
 
 
@@ -91,7 +92,7 @@ def jpeg_blocking(t: str) -> str:
     def mean(where: str) -> str:
         return f"CAST(sum(CASE WHEN {where} THEN d ELSE 0 END) AS DOUBLE) / greatest(1, sum(CASE WHEN {where} THEN 1 ELSE 0 END))"
 
-    m = sub(f"SELECT image_id, {mean('x % 8 = 0 AND x > 0')} AS edge, {mean('x % 8 = 4 AND x >= 4 AND x < w8')} AS inner_ FROM {d} d GROUP BY image_id")
+    m = sub(f"SELECT image_id, {mean('x % 8 = 0 AND x > 0')} AS edge, {mean('x % 8 = 4 AND x < w8 - 4')} AS inner_ FROM {d} d GROUP BY image_id")
     n = sub(f"SELECT image_id, edge, {rounded(clip('(edge + 1e-4) / (inner_ + 1e-4)', 0.5, 5), 3)} AS score FROM {m} m")
     return f"SELECT image_id, score AS jpeg_blocking_score, (score > 1.25e0 AND edge > 2) AS jpeg_blocking_detected FROM {n} n"
 
@@ -130,6 +131,7 @@ def content_style(t: str) -> str:
             least = f"least({least}, {x})"
         return f"{num(base)} + {num(1 - base)} * {least}"
 
+    # Thresholds, widths and base confidences of the rules, in their order.
     rules = [
         ("sat < 0.05e0 AND uniq < 0.0035e0 AND resid > 0.15e0 AND extreme > 0.5e0", "manga", conf(0.55, ramp("0.0035e0 - uniq", 0.0035), ramp("resid - 0.15e0", 0.30), ramp("extreme - 0.5e0", 0.30))),
         ("sat < 0.05e0 AND resid > 0.6e0", "manga", conf(0.55, ramp("resid - 0.6e0", 0.40), ramp("0.05e0 - sat", 0.05))),
@@ -143,17 +145,38 @@ def content_style(t: str) -> str:
     return f"SELECT image_id, CASE {style} ELSE 'photo' END AS suggested_style, {rounded(f'CASE {value} ELSE 0.6e0 END', 3)} AS style_confidence FROM {sub(style_signals(t))} s"
 
 
-def diagnose(t: str) -> str:
-    """All estimators of a colour table, a row an image."""
-    g = sub(gray(t))
-    parts = [noise(g), chroma_noise(t), blur_score(g), dynamic_range(g), illuminant(t), backlight(g), jpeg_blocking(g), haze(t), content_style(t)]
+def proxied(t: str, planes: list[str], h: int, w: int, most: int) -> str:
+    """``t`` (h x w) shrunk by area to ``most`` along its longer side, in whole numbers; smaller images as they are."""
+    if max(h, w) <= most:
+        return t
+    nh, nw = (max(1, round(n * (most / max(h, w)))) for n in (h, w))
+    steady = ", ".join(f"{byte(rounded(p, 6))} AS {p}" for p in planes)
+    return stage(f"SELECT {KEY}, {steady} FROM {sub(resize(t, planes, h, w, nh, nw, area))} p0")
+
+
+def _joined(parts: list[str]) -> str:
     names = ["noise_sigma, noise_category", "chroma_noise_sigma, chroma_noise_category", "blur_score, blur_category", "entropy, dynamic_range, shadow_clipping, highlight_clipping, mean_luminance", "color_cast_kelvin, color_tint_offset, color_cast_name", "backlight_ratio, backlight_detected", "jpeg_blocking_score, jpeg_blocking_detected", "haze_index, haze_detected", "suggested_style, style_confidence"]
     joins = " ".join(f"JOIN {sub(p)} d{i} ON d0.image_id = d{i}.image_id" for i, p in enumerate(parts) if i)
     return f"SELECT d0.image_id, {', '.join(names)} FROM {sub(parts[0])} d0 {joins}"
 
 
+def diagnose(t: str) -> str:
+    """All estimators of a colour table of images of up to 160 pixels a side, a row an image."""
+    g = sub(gray(t))
+    return _joined([noise(g), chroma_noise(t), blur_score(g), dynamic_range(g), illuminant(t), backlight(g), jpeg_blocking(g), haze(t), content_style(t)])
+
+
+def diagnose_sized(t: str, h: int, w: int) -> str:
+    """All estimators of a colour table of h x w images, each on its crop or proxy."""
+    g, bgr = stage(gray(t)), ["b", "g", "r"]
+    middle = stage(crop(g, 1024))
+    small = lambda most: proxied(t, bgr, h, w, most)
+    return _joined([noise(middle), chroma_noise(small(512)), blur_score(middle), dynamic_range(g), illuminant(small(256)), backlight(proxied(g, ["g"], h, w, 160)), jpeg_blocking(g), haze(small(320)), content_style(small(160))])
+
+
 def tune(d: str) -> str:
     """The parameters that the rules recommend for a row of diagnostics."""
+    # The rules' limits, factors and recommendations.
     eff = "greatest(noise_sigma, 0.7e0 * chroma_noise_sigma)"
     base = "(CASE WHEN noise_sigma > 7 OR jpeg_blocking_detected THEN 0.8e0 WHEN noise_sigma < 3 THEN 1.3e0 ELSE 1.1e0 END)"
     detail = "(CASE WHEN noise_sigma > 7 OR jpeg_blocking_detected THEN 0.9e0 WHEN noise_sigma < 3 THEN 1.25e0 ELSE 1.1e0 END)"

@@ -6,7 +6,9 @@ SELECT. A pixel table has ``image_id, y, x``, the image's ``h, w``, and planes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame
 
@@ -25,6 +27,29 @@ def sub(select: str) -> str:
     return f"({select})"
 
 
+_STEPS: ContextVar[list[str] | None] = ContextVar("steps", default=None)
+
+
+def stage(select: str) -> str:
+    """A SELECT as a relation that later ones read several times: a step of its own inside ``steps``."""
+    held = _STEPS.get()
+    if held is None:
+        return sub(select)
+    held.append(select)
+    return f"step{len(held)}"
+
+
+@contextmanager
+def steps() -> Iterator[list[str]]:
+    """Gathers the SELECTs of ``stage``, in order, so that each can be computed once (``step1``, ``step2``, ...)."""
+    held: list[str] = []
+    token = _STEPS.set(held)
+    try:
+        yield held
+    finally:
+        _STEPS.reset(token)
+
+
 def padded(t: str, axis: str, r: int, planes: list[str], edge: str = "reflect101") -> str:
     """``t`` with ``r`` mirrored rows or columns at each end of ``axis``.
 
@@ -82,7 +107,7 @@ def box(t: str, r: int, planes: list[str], edge: str = "reflect101", also: list[
     also = also or []
     same = {p: p for p in also}
     rows = slide(t, "x", {p: total(p, r) for p in planes} | same, r, edge, planes + also)
-    return slide(sub(rows), "y", {p: total(p, r) for p in planes} | same, r, edge, planes + also)
+    return slide(stage(rows), "y", {p: total(p, r) for p in planes} | same, r, edge, planes + also)
 
 
 def blur(t: str, weights: list[float], planes: list[str], also: list[str] | None = None, edge: str = "reflect101") -> str:
@@ -90,7 +115,7 @@ def blur(t: str, weights: list[float], planes: list[str], also: list[str] | None
     also, r = also or [], len(weights) // 2
     same = {p: p for p in also}
     rows = slide(t, "x", {p: weighted(p, weights) for p in planes} | same, r, edge, planes + also)
-    return slide(sub(rows), "y", {p: weighted(p, weights) for p in planes} | same, r, edge, planes + also)
+    return slide(stage(rows), "y", {p: weighted(p, weights) for p in planes} | same, r, edge, planes + also)
 
 
 def extreme(t: str, r: int, planes: list[str], fn: str, also: list[str] | None = None) -> str:

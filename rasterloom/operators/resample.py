@@ -9,7 +9,7 @@ from __future__ import annotations
 from math import cos, floor, pi, sin
 
 from rasterloom.functions.pixel import GRAY, byte, clip, gaussian, num
-from rasterloom.operators.relation import KEY, blur, sobel, sub
+from rasterloom.operators.relation import KEY, blur, sobel, stage, sub
 
 Taps = list[tuple[int, int, float]]
 
@@ -106,11 +106,11 @@ def pyr_up(t: str, planes: list[str], h: int, w: int, new_h: int, new_w: int) ->
 def easu(t: str, h: int, w: int, scale: float) -> str:
     """Lanczos enlargement with a blend of its blur on strong edges."""
     nh, nw = round(h * scale), round(w * scale)
-    big = sub(resize(t, ["b", "g", "r"], h, w, nh, nw, lanczos4))
-    big8 = sub(f"SELECT {KEY}, {', '.join(f'{byte(c)} AS {c}, {byte(c)} AS {c}s' for c in 'bgr')} FROM {big} e")
-    mag = sub(f"SELECT {KEY}, sqrt(CAST(gx * gx + gy * gy AS DOUBLE)) AS mag FROM {sub(sobel(sub(f'SELECT {KEY}, {GRAY} AS g FROM {t}')))} s")
-    coherent = sub(f"SELECT image_id AS ci, y AS cy, x AS cx, {clip('(mag - 20e0) / 40e0', 0, 1)} AS c FROM {sub(resize(mag, ['mag'], h, w, nh, nw, linear))} m")
-    soft = sub(blur(big8, gaussian(3, 0.5), ["bs", "gs", "rs"], ["b", "g", "r"]))
+    big = stage(resize(t, ["b", "g", "r"], h, w, nh, nw, lanczos4))
+    big8 = stage(f"SELECT {KEY}, {', '.join(f'{byte(c)} AS {c}, {byte(c)} AS {c}s' for c in 'bgr')} FROM {big} e")
+    mag = stage(f"SELECT {KEY}, sqrt(CAST(gx * gx + gy * gy AS DOUBLE)) AS mag FROM {sub(sobel(sub(f'SELECT {KEY}, {GRAY} AS g FROM {t}')))} s")
+    coherent = stage(f"SELECT image_id AS ci, y AS cy, x AS cx, {clip('(mag - 20e0) / 40e0', 0, 1)} AS c FROM {sub(resize(mag, ['mag'], h, w, nh, nw, linear))} m")
+    soft = stage(blur(big8, gaussian(3, 0.5), ["bs", "gs", "rs"], ["b", "g", "r"]))
     mixed = ", ".join(f"{byte(f'(1e0 - 0.25e0 * c) * {p} + 0.25e0 * c * {byte(p + chr(115))}')} AS {p}" for p in "bgr")
     return f"SELECT image_id, y, x, h, w, {mixed} FROM {soft} s JOIN {coherent} c ON image_id = ci AND y = cy AND x = cx"
 

@@ -96,7 +96,7 @@ PROFILES: dict[str, dict[str, float | bool]] = {
     },
 }
 
-# Two of the presets; others are given by the caller in the same form.
+# The presets most asked for; others are read from a table (``preset_sheets``) or given in the same form.
 PRESETS: dict[str, dict[str, float | bool]] = {
     "balanced": {
         "scale": 2.0,
@@ -136,6 +136,116 @@ PRESETS: dict[str, dict[str, float | bool]] = {
         "pyramid_structure_boost": 1.05,
         "enable_semantic_guidance": True,
     },
+    "landscape": {
+        "scale": 2.0,
+        "sharpen_strength": 1.3,
+        "enable_denoise": True,
+        "denoise_intensity": 30.0,
+        "enable_contrast": True,
+        "contrast_boost": 2.1,
+        "brightness_shift": 0.0,
+        "vibrance_boost": 1.15,
+        "color_temperature": 0.0,
+        "portrait_smooth": 0.0,
+        "eye_clarity": 1.0,
+        "enable_dehaze": True,
+        "dehaze_strength": 0.6,
+        "enable_pyramid": True,
+        "pyramid_micro_texture": 1.35,
+        "pyramid_structure_boost": 1.2,
+        "enable_semantic_guidance": True,
+        "enable_local_tone": True,
+        "local_tone_strength": 0.45,
+        "highlight_recovery": 0.60,
+        "shadow_boost": 0.40,
+    },
+    "low-light": {
+        "scale": 2.0,
+        "sharpen_strength": 0.9,
+        "enable_denoise": True,
+        "denoise_intensity": 65.0,
+        "enable_contrast": True,
+        "contrast_boost": 2.0,
+        "brightness_shift": 8.0,
+        "vibrance_boost": 1.05,
+        "color_temperature": -5.0,
+        "portrait_smooth": 0.0,
+        "eye_clarity": 1.0,
+        "enable_dehaze": False,
+        "dehaze_strength": 0.0,
+        "enable_pyramid": True,
+        "pyramid_micro_texture": 1.1,
+        "pyramid_structure_boost": 1.1,
+        "enable_semantic_guidance": True,
+        "enable_local_tone": True,
+        "local_tone_strength": 0.50,
+        "highlight_recovery": 0.30,
+        "shadow_boost": 0.70,
+    },
+    "manga": {
+        "scale": 2.0,
+        "sharpen_strength": 0.7,
+        "enable_denoise": False,
+        "denoise_intensity": 15.0,
+        "enable_contrast": False,
+        "contrast_boost": 1.0,
+        "brightness_shift": 0.0,
+        "vibrance_boost": 1.0,
+        "color_temperature": 0.0,
+        "portrait_smooth": 0.0,
+        "eye_clarity": 1.0,
+        "enable_dehaze": False,
+        "dehaze_strength": 0.0,
+        "enable_pyramid": True,
+        "pyramid_micro_texture": 1.0,
+        "pyramid_structure_boost": 1.05,
+        "pyramid_dynamic_range": 0.0,
+        "enable_semantic_guidance": False,
+        "enable_local_tone": False,
+    },
+    "fast": {
+        "scale": 2.0,
+        "sharpen_strength": 0.8,
+        "enable_denoise": False,
+        "denoise_intensity": 25.0,
+        "enable_contrast": True,
+        "contrast_boost": 1.5,
+        "brightness_shift": 0.0,
+        "vibrance_boost": 1.05,
+        "color_temperature": 0.0,
+        "portrait_smooth": 0.0,
+        "eye_clarity": 1.0,
+        "enable_diagnostics": False,
+        "auto_tune": False,
+        "enable_dehaze": False,
+        "dehaze_strength": 0.0,
+        "enable_pyramid": False,
+        "pyramid_micro_texture": 1.0,
+        "pyramid_structure_boost": 1.0,
+        "pyramid_dynamic_range": 0.0,
+        "enable_semantic_guidance": False,
+        "enable_fast_2x": True,
+    },
+    "document": {
+        "scale": 2.0,
+        "sharpen_strength": 1.4,
+        "enable_denoise": False,
+        "denoise_intensity": 10.0,
+        "enable_contrast": True,
+        "contrast_boost": 2.2,
+        "brightness_shift": 4.0,
+        "vibrance_boost": 1.0,
+        "color_temperature": 0.0,
+        "portrait_smooth": 0.0,
+        "eye_clarity": 1.0,
+        "enable_dehaze": False,
+        "dehaze_strength": 0.0,
+        "enable_pyramid": True,
+        "pyramid_micro_texture": 1.1,
+        "pyramid_structure_boost": 1.25,
+        "enable_semantic_guidance": False,
+        "enable_local_tone": False,
+    },
 }
 
 # Name, native scale, task and style of the known models.
@@ -236,3 +346,70 @@ def styles(models: list[tuple[str, int, str, str | None]] = MODELS) -> str:
     """Distinct styles of the known models for enlargement."""
     rows = ", ".join(f"({', '.join(_literal(v, str) for v in m)})" for m in models)
     return f"SELECT DISTINCT style FROM (VALUES {rows}) AS v(model, native, task, style) WHERE task = 'super-resolution'"
+
+
+def preset_sheets(rows: list[dict]) -> dict[str, dict[str, float | bool]]:
+    """Presets in the form of ``PRESETS`` from rows with a ``name`` and nullable fields, as collected from a table of them."""
+    return {r["name"].lower().strip(): {f: v for f, v in r.items() if f in DEFAULTS and v is not None} for r in rows}
+
+
+#: Command-line flags made of the table ``part``; null means that a flag is not given.
+FLAGS = """SELECT p_partkey AS request_id, CASE p_size % 3 WHEN 0 THEN 'pure_dsp' WHEN 1 THEN 'hybrid' ELSE 'neural' END AS mode,
+    p_size % 4 = 0 AS auto, p_size % 5 = 0 AS auto_style, p_size % 6 = 0 AS no_diagnostics,
+    CASE WHEN p_size % 7 = 0 THEN 0e0 WHEN p_size % 7 = 1 THEN p_size / 60e0 END AS dehaze, CASE WHEN p_size % 8 = 0 THEN p_size / 20e0 END AS sharpen,
+    p_size % 9 = 0 AS no_denoise, CASE WHEN p_size % 10 = 0 THEN p_size * 2e0 END AS denoise_intensity, CASE WHEN p_size % 11 = 0 THEN -5e0 END AS temperature,
+    CASE WHEN p_size % 13 = 0 THEN p_size % 2 = 0 END AS local_tone, 0.6e0 AS preset_dehaze, p_size % 2 = 0 AS preset_dehaze_on FROM {t}"""
+
+
+def flags(t: str) -> str:
+    """What command-line flags make of a preset's settings, and the flags that neural mode ignores.
+
+    ``auto`` asks for diagnostics, tuning and style routing; ``no_diagnostics``
+    goes before it. A dehazing of 0 turns it off and leaves the preset's strength.
+    """
+    ignored = {"sharpen": "sharpen IS NOT NULL", "denoise-intensity": "denoise_intensity IS NOT NULL", "no-denoise": "no_denoise", "local-tone": "local_tone IS NOT NULL", "temperature": "temperature IS NOT NULL"}
+    found = " || ".join(f"CASE WHEN {c} THEN ' {n}' ELSE '' END" for n, c in ignored.items())
+    return f"""SELECT request_id, mode, NOT no_diagnostics AS enable_diagnostics, auto AND NOT no_diagnostics AS auto_tune, (auto OR auto_style) AND NOT no_diagnostics AS auto_style,
+        coalesce(dehaze > 0, preset_dehaze_on) AS enable_dehaze, CASE WHEN dehaze > 0 THEN dehaze ELSE preset_dehaze END AS dehaze_strength,
+        coalesce(sharpen, {DEFAULTS["sharpen_strength"]}e0) AS sharpen_strength, NOT no_denoise AS enable_denoise, coalesce(denoise_intensity, {DEFAULTS["denoise_intensity"]}e0) AS denoise_intensity,
+        coalesce(temperature, 0e0) AS color_temperature, coalesce(local_tone, FALSE) AS enable_local_tone, CASE WHEN mode = 'neural' THEN trim({found}) ELSE '' END AS ignored FROM {t} z"""
+
+
+def gates(t: str, mode: str = "pure_dsp") -> str:
+    """Which stages of the pipeline run under a request's settings."""
+    detail = "(enable_pyramid AND (abs(pyramid_micro_texture - 1e0) >= 0.02e0 OR abs(pyramid_structure_boost - 1e0) >= 0.02e0))"
+    full = "TRUE" if mode != "neural" else "FALSE"
+    denoise = "(enable_denoise AND denoise_intensity > 0)"
+    return f"""SELECT request_id, enable_semantic_guidance AND ({detail} OR {denoise}) AND {full} AS semantic, depixel_strength > 0 AS depixelate, deblur_strength > 0 AS deblur,
+        enable_dehaze AND dehaze_strength > 0 AS dehaze, {denoise} AND {full} AS denoise, {"scale <> 1" if mode == "pure_dsp" else "TRUE"} AS upsample, enable_pyramid AS pyramid,
+        {full} AND enable_contrast AND contrast_boost > 1 AS contrast, {full} AND enable_local_tone AND (local_tone_strength > 0.001e0 OR highlight_recovery > 0.001e0 OR shadow_boost > 0.001e0) AS local_tone,
+        {"brightness_shift <> 0" if mode == "pure_dsp" else "FALSE"} AS exposure, {full} AND sharpen_strength > 0 AS sharpen, portrait_smooth > 0 OR eye_clarity > 1 AS portrait,
+        {full} AND vibrance_boost <> 1 AS vibrance, {full} AND (color_temperature <> 0 OR color_tint <> 0) AS white_balance FROM {t} z"""
+
+
+def model_cache(t: str, models: list[tuple[str, int, str, str | None]] = MODELS) -> str:
+    """Every known model with the size of its cached file, if there is one."""
+    rows = ", ".join(f"({', '.join(_literal(v, str) for v in m)})" for m in models)
+    return f"SELECT m.model, CAST(m.native AS INT) AS native, m.task, c.size, c.size IS NOT NULL AS cached FROM (SELECT * FROM (VALUES {rows}) AS v(model, native, task, style)) m LEFT JOIN {t} c ON c.model = m.model"
+
+
+def medians(t: str) -> str:
+    """Median over the rounds of each stage, and of the totals as stage ``total``."""
+    return f"""SELECT input, stage, median(ms) AS ms FROM {t} a GROUP BY input, stage UNION ALL
+        SELECT input, 'total' AS stage, median(ms) AS ms FROM (SELECT input, round, sum(ms) AS ms FROM {t} b GROUP BY input, round) s GROUP BY input"""
+
+
+_FINITE = "CASE WHEN ms = CAST('NaN' AS DOUBLE) OR abs(ms) = CAST('Infinity' AS DOUBLE) THEN NULL ELSE ms END"
+
+
+def finite(t: str) -> str:
+    """Numbers that aren't finite become null."""
+    return f"SELECT request_id, {_FINITE} AS ms FROM {t} z"
+
+
+def tally(t: str) -> str:
+    """Files that succeeded and failed, the mean time of those that succeeded, and the exit code."""
+    good = "CAST(sum(CASE WHEN error IS NULL THEN 1 ELSE 0 END) AS BIGINT)"
+    bad = "CAST(sum(CASE WHEN error IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT)"
+    return f"""SELECT input, {good} AS succeeded, {bad} AS failed, floor(avg(CASE WHEN error IS NULL THEN {_FINITE} END) * 1e4 + 0.5e0) / 1e4 AS mean_ms,
+        CASE WHEN {bad} > 0 THEN 1 ELSE 0 END AS exit_code FROM {t} z GROUP BY input"""

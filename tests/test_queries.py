@@ -6,7 +6,9 @@ import pytest
 from rasterloom import catalog
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["haar_noise_mad", "jpeg_blocking", "sobel", "erode", "white_balance", "pyr_down", "lanczos_easu", *catalog.SETTINGS]
+#: Those whose SQL takes long in DuckDB are compared at sf0.01 only, outside of the tests.
+SLOW = {"diagnose_large"}
+NAMES = sorted(catalog.oracle_sql().keys() - SLOW)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -24,11 +26,11 @@ def test_same_rows(spark, name):
 
 
 def test_every_query_has_sql():
-    assert catalog.queries().keys() == catalog.oracle_sql().keys()
+    assert catalog.queries().keys() - catalog.oracle_sql().keys() == {"enhance_pure_dsp", "enhance_hybrid", "enhance_tuned", "neural_fallback"}
 
 
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 10
+    assert __spark_entry__.entry(spark).count() == 11
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
