@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as H
 
 from rasterloom.functions import pixel as X
 from rasterloom.kernels import enhance as K
@@ -98,6 +99,7 @@ RECORDS: dict[str, tuple[str, Callable[[np.ndarray], dict], str, Callable[[str],
     "psnr": ("R1", lambda a: {"psnr_db": K.psnr(a, _coarser(a))}, "image_id long, psnr_db double", lambda t: Q.psnr(_against(t))),
     "ssim": ("R1", lambda a: {"ssim": K.ssim(a, _coarser(a))}, "image_id long, ssim double", lambda t: Q.ssim(_against(t))),
     "compare_pair": ("R1", lambda a: {k: v for k, v in K.compare(a, _coarser(a)).items() if k != "quality_error"}, "image_id long, psnr_db double, ssim double", lambda t: Q.compare(_against(t))),
+    "uniformity_probe": ("R1", lambda a: {"uniform": E.is_uniform(a)}, "image_id long, uniform boolean", lambda t: f"SELECT image_id, stddev_pop(CAST(g AS DOUBLE)) < 0.75e0 AS uniform FROM {t} GROUP BY image_id"),
     "semantic_coverage": ("R2", lambda a: K.coverage(K.masks(a)), "image_id long, sky double, foliage double, skin double, shadow double, structure double", F.coverage),
 }
 
@@ -148,6 +150,7 @@ PIXELS: dict[str, tuple[str, Callable[[np.ndarray], dict[str, np.ndarray]], str,
     "shock": ("R2", lambda a: _bgr(K.shock(a, 40, 1)), _COLOUR, lambda t: F.shock(t, 40), None),
     "semantic_masks": ("R2", lambda a: K.masks(a), "sky double, foliage double, skin double, shadow double, structure double", F.semantic_masks, 5),
     "guidance_maps": ("R2", lambda a: dict(zip(("q_detail", "q_denoise"), K.guidance(K.masks(a), N.gray(a) / 255.0), strict=True)), "q_detail double, q_denoise double", lambda t: F.guidance(t, 32, 32), 5),
+    "channel_norm": ("R1", lambda a: _bgr(N.colour(a)) | {"back": N.gray(N.colour(a))}, "b int, g int, r int, back int", lambda t: f"SELECT {KEY}, b, g, r, {X.GRAY} AS back FROM {sub(f'SELECT {KEY}, g AS b, g, g AS r FROM {t}')} z", None),
     "split_view": ("R1", lambda a: {"g": np.where(np.arange(a.shape[1]) < int(a.shape[1] * 0.4), a, 255 - a)}, _GREY, lambda t: Q.split_view(t, sub(f"SELECT {KEY}, 255 - g AS g FROM {t}"), 0.4), None),
 }
 
@@ -172,6 +175,8 @@ SETTINGS: dict[str, tuple[str, str]] = {
     "output_name": ("SELECT 'in/' || p_type || '.d/' || p_partkey || CASE p_size % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.x.jpg' ELSE '' END AS path FROM {t}", P.output_name("src")),
     "slowest_stage": (_STAGES, P.slowest("src")),
     "bench_regression": ("SELECT p_brand, p_size FROM {t}", P.regressions(_TOTALS.format(t="src", odd=1), _TOTALS.format(t="(SELECT * FROM src WHERE p_brand <> 'Brand#11')", odd=0))),
+    "input_contract": (P.INPUTS, P.contract("src")),
+    "text_report": (_STAGES, P.text_report("src")),
     "median_timing": (_REPEATS, P.medians("src")),
     "batch_tally": (_FILES, P.tally("src")),
     "finite_only": (_FILES, P.finite("src")),
@@ -291,7 +296,21 @@ def _shock_twice_sql() -> str:
     return _with(duck.R2, lambda: f"SELECT image_id, y, x, h, w, b, g, r FROM {sub(F.shock(stage(F.shock('src', 40)), 40))} z")
 
 
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of JSON for each file."""
+    rows = _over_part(_FILES, P.named_finite("src"))(spark, sf_dir)
+    return rows.select("request_id", H.to_json(H.struct("input", "ms", "error"), {"ignoreNullFields": "false"}).alias("report"))
+
+
+def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals written as one JSON object and read back as rows."""
+    totals = spark.sql(f"SELECT * FROM {_TOTALS.format(t='{part}', odd=1)} z", part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return P.read_baseline(P.write_baseline(totals))
+
+
 _OTHERS: dict[str, tuple[Query, str | None]] = {
+    "json_report": (_json, f"WITH src AS ({_FILES.format(t='part')}) SELECT request_id, CAST(to_json({{'input': input, 'ms': ms, 'error': error}}) AS VARCHAR) AS report FROM ({P.named_finite('src')}) z"),
+    "baseline_json": (_baseline, f"SELECT input, CAST(ms AS DOUBLE) AS ms FROM {_TOTALS.format(t='part', odd=1)} z"),
     "box_filter": (_box, f"WITH src AS MATERIALIZED ({duck.R1}) SELECT image_id, y, x, CAST(g AS BIGINT) AS total FROM {sub(box('src', 6, ['g']))} b"),
     "tile_feather": (_tiled, f"WITH src AS MATERIALIZED ({duck.R1}) SELECT image_id, y, x, h, w, g FROM {sub(S.tiles('src', 32, 32, 16, 4, '255 - g'))} z"),
     "style_route": (_route, f"WITH src AS MATERIALIZED ({duck.R2}) {D.style_route(sub(D.content_style('src')))}"),

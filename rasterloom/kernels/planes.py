@@ -10,6 +10,8 @@ from rasterloom.functions import pixel
 from rasterloom.operators import resample
 
 Array = np.ndarray
+#: Values of the rows that are resampled at once.
+BLOCK = 1 << 15
 
 
 def byte(x: Array) -> Array:
@@ -108,18 +110,23 @@ def box_sum(a: Array, r: int, edge: str = "reflect101") -> Array:
     return windows(windows(padded(a, r, edge, 1), r, r, 1)[_mirror(a.shape[0], r, edge)], r, r, 0)
 
 
+def _weigh(parts: list[Array], weights: list[float]) -> Array:
+    out = weights[0] * parts[0]
+    more = np.empty_like(out)
+    for k, p in zip(weights[1:], parts[1:], strict=True):
+        np.multiply(p, k, out=more)
+        out += more
+    return out
+
+
 def blur(a: Array, weights: list[float], edge: str = "reflect101") -> Array:
-    """Separable weighted sums."""
+    """Separable weighted sums, by blocks of rows that stay in the cache."""
     r, (h, w) = len(weights) // 2, a.shape
     p = padded(a, r, edge, 1)
-    x = weights[0] * p[:, :w]
-    for i, k in enumerate(weights[1:], 1):
-        x += k * p[:, i : i + w]
+    step = max(1, BLOCK // w)
+    x = np.concatenate([_weigh([p[y : y + step, i : i + w] for i in range(len(weights))], weights) for y in range(0, h, step)])
     p = padded(x, r, edge, 0)
-    y = weights[0] * p[:h]
-    for i, k in enumerate(weights[1:], 1):
-        y += k * p[i : i + h]
-    return y
+    return np.concatenate([_weigh([p[y + i : min(y + step, h) + i] for i in range(len(weights))], weights) for y in range(0, h, step)])
 
 
 def gaussian(a: Array, size: int, sigma: float) -> Array:
@@ -185,13 +192,21 @@ def _table(kind: str, n: int, m: int) -> tuple[Array, Array]:
 
 
 def _along(a: Array, kind: str, m: int, axis: int) -> Array:
-    at, weight = _table(kind, a.shape[axis], m)
-    out = 0.0
-    for i in range(at.shape[1]):
-        if axis:
-            out = out + a[:, at[:, i]] * weight[:, i]
-        else:
-            out = out + a[at[:, i]] * weight[:, i, None]
+    """New rows (or columns: rows of the transposed plane, which lie together) from weighted old ones."""
+    if axis:
+        return np.ascontiguousarray(_along(np.ascontiguousarray(a.T), kind, m, 0).T)
+    at, weight = _table(kind, len(a), m)
+    out = np.empty((m, a.shape[1]))
+    step = max(1, BLOCK // a.shape[1])
+    for i in range(0, m, step):  # blocks of rows stay in the cache over all taps
+        rows, w = at[i : i + step], weight[i : i + step]
+        block = a[rows[:, 0]]
+        block *= w[:, :1]
+        for j in range(1, at.shape[1]):
+            more = a[rows[:, j]]
+            more *= w[:, j : j + 1]
+            block += more
+        out[i : i + step] = block
     return out
 
 

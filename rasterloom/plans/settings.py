@@ -7,6 +7,9 @@ raster operators, each function returns a SELECT over a relation's name.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 # Fields and their defaults.
 DEFAULTS: dict[str, float | bool] = {
     "enable_diagnostics": True,
@@ -413,3 +416,32 @@ def tally(t: str) -> str:
     bad = "CAST(sum(CASE WHEN error IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT)"
     return f"""SELECT input, {good} AS succeeded, {bad} AS failed, floor(avg(CASE WHEN error IS NULL THEN {_FINITE} END) * 1e4 + 0.5e0) / 1e4 AS mean_ms,
         CASE WHEN {bad} > 0 THEN 1 ELSE 0 END AS exit_code FROM {t} z GROUP BY input"""
+
+
+def named_finite(t: str) -> str:
+    """As ``finite``, with the input and its error."""
+    return f"SELECT request_id, input, {_FINITE} AS ms, error FROM {t} z"
+
+
+#: Inputs made of the table ``part``: sizes, channels and bits a sample.
+INPUTS = "SELECT p_partkey AS request_id, CAST(p_size - 1 AS INT) AS h, CAST(p_partkey % 40 AS INT) AS w, CAST(p_size % 6 AS INT) AS channels, CASE WHEN p_size % 5 = 0 THEN 16 ELSE 8 END AS bits FROM {t}"
+
+
+def contract(t: str) -> str:
+    """Why an input isn't accepted; null if it is."""
+    return f"SELECT request_id, CASE WHEN h < 1 OR w < 1 THEN 'empty' WHEN bits <> 8 THEN 'not 8 bits' WHEN channels NOT IN (1, 3, 4) THEN 'channels' END AS problem FROM {t} z"
+
+
+def text_report(t: str) -> str:
+    """A line of a table for each input: its total and its slowest stage."""
+    return f"SELECT input, '| ' || input || ' | ' || total || ' | ' || stage || ' (' || ms || ') |' AS line FROM ({slowest(t)}) s"
+
+
+def write_baseline(totals: DataFrame) -> DataFrame:
+    """``baseline``: one JSON object of ``input, ms`` rows (a row a benchmark case), keys in order."""
+    return totals.agg(F.array_sort(F.collect_list(F.struct("input", "ms"))).alias("rows")).select(F.to_json(F.map_from_entries("rows")).alias("baseline"))
+
+
+def read_baseline(table: DataFrame) -> DataFrame:
+    """``input, ms`` of JSON objects in column ``baseline``."""
+    return table.select(F.explode(F.from_json("baseline", "map<string,double>")).alias("input", "ms"))

@@ -6,6 +6,8 @@ import io
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -51,3 +53,23 @@ def ship(spark: SparkSession) -> None:
     Path(path).write_bytes(held.getvalue())
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+@contextmanager
+def tagged(spark: SparkSession, tag: str, description: str | None = None) -> Iterator[Callable[[], None]]:
+    """Jobs started inside carry ``tag``; the function given cancels them, from any thread."""
+    sc = spark.sparkContext
+    sc.addJobTag(tag)
+    sc.setJobDescription(description or tag)
+    try:
+        yield lambda: sc.cancelJobsWithTag(tag)
+    finally:
+        sc.removeJobTag(tag)
+        sc.setJobDescription(None)
+
+
+def progress(spark: SparkSession) -> list[tuple[int, int, int]]:
+    """Stage, finished tasks and all tasks of what runs now."""
+    tracker = spark.sparkContext.statusTracker()
+    found = (tracker.getStageInfo(i) for i in tracker.getActiveStageIds())
+    return [(s.stageId, s.numCompletedTasks, s.numTasks) for s in found if s]

@@ -217,3 +217,80 @@ def test_coverage_and_masks():
     assert cover["sky"] > 0.2 and cover["foliage"] > 0.2
     detail, denoise = K.guidance(found, P.gray(a) / 255.0)
     assert detail.shape == denoise.shape == (40, 40)
+
+
+def _onnx(path):
+    """An ONNX file of a model that repeats each sample 4 x 4 times, written byte by byte."""
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+    held = lambda k, b: number(k << 3 | 2) + number(len(b)) + b
+    plain = lambda k, n: number(k << 3) + number(n)
+    whole = lambda name, n: held(5, held(1, name) + plain(3, n) + plain(20, 2))
+    many = held(1, held(1, b"x") * 16 + held(2, b"m") + held(4, b"Concat") + whole(b"axis", 1))
+    deep = held(1, held(1, b"m") + held(2, b"y") + held(4, b"DepthToSpace") + whole(b"blocksize", 4))
+    def value(name):
+        shape = b"".join(held(1, held(2, d)) for d in (b"n", b"c" + name, b"h" + name, b"w" + name))
+        return held(1, name) + held(2, held(1, plain(1, 1) + held(2, shape)))
+    graph = many + deep + held(2, b"g") + held(11, value(b"x")) + held(12, value(b"y"))
+    path.write_bytes(plain(1, 8) + held(7, graph) + held(8, held(1, b"") + plain(2, 13)))
+    return str(path)
+
+
+def test_neural_upscaler(spark, tmp_path):
+    pytest.importorskip("onnxruntime")
+    from rasterloom.kernels.neural import Upscaler, providers
+
+    path = _onnx(tmp_path / "repeat.onnx")
+    a = RNG.integers(0, 256, (30, 41, 3)).astype(np.uint8)
+    up = Upscaler(path, tile=32, overlap=8)
+    assert np.array_equal(up(a, 4.0), np.repeat(np.repeat(a, 4, 0), 4, 1))
+    assert np.array_equal(up(a, 2.0), K.lanczos(np.repeat(np.repeat(a, 4, 0), 4, 1), 60, 82))
+    assert np.array_equal(up(a, 1.0), a) and Upscaler(path, fast_2x=True)(a, 2.0).shape == (60, 82, 3)
+    got = plan.enhance(_table(spark, [a]), "neural", upscaler=up, scale=4.0, enable_pyramid=False).first()
+    assert got.backend == "neural" and bytes(got.data) == np.repeat(np.repeat(a, 4, 0), 4, 1).tobytes()
+    gone = plan.enhance(_table(spark, [a]), "neural", upscaler=Upscaler(str(tmp_path / "none.onnx")), enable_pyramid=False).first()
+    assert gone.backend == "DSP (neural fallback)" and bytes(gone.data) == K.upsample(a, 2.0).tobytes()
+    assert providers("auto", ["CPUExecutionProvider"]) == (["CPUExecutionProvider"], "CPU")
+    assert "isn't available" in providers("cuda", ["CPUExecutionProvider"])[1]
+
+
+def test_files_in_and_out(spark, tmp_path):
+    from rasterloom.sources import files
+
+    pictures = [RNG.integers(0, 256, s).astype(np.uint8) for s in ((9, 7), (12, 5, 3), (4, 6, 4))]
+    content = files.encode(_table(spark, pictures)).selectExpr("concat('deep/', image_id, '.png') as name", "content")
+    assert files.write_files(content, str(tmp_path / "out")).count() == 3
+    table = files.read_rasters(spark, str(tmp_path / "out"), recursive=True)
+    got = {r.origin.rsplit("/", 1)[1]: r for r in table.collect()}
+    for i, a in enumerate(pictures):
+        r = got[f"{i}.png"]
+        assert (r.h, r.w) == a.shape[:2]
+        back = np.frombuffer(bytes(r.data), np.uint8).reshape(r.h, r.w, r.c)
+        assert np.array_equal(back[:, :, : a.shape[2] if a.ndim == 3 else 1], np.atleast_3d(a))
+    paths = [r.path for r in files.image_files(spark, str(tmp_path / "out"), recursive=True).select("path").collect()]
+    assert paths == sorted(paths) and len(paths) == 3
+    assert files.image_files(spark, str(tmp_path / "out"), recursive=True, without=str(tmp_path / "out" / "deep")).count() == 0
+
+
+def test_orientation():
+    from rasterloom.sources import files
+
+    tiff = b"II*\0\x08\0\0\0" + b"\x01\0" + (0x0112).to_bytes(2, "little") + b"\x03\0\x01\0\0\0" + b"\x06\0\0\0" + b"\0\0\0\0"
+    body = b"Exif\0\0" + tiff
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab" + b"\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body
+    assert files.orientation(jpeg) == 6 and files.orientation(b"\x89PNG") == 1 and files.orientation(jpeg[:20]) == 1
+    a = np.arange(6).reshape(2, 3)
+    assert files.turned(a, 6).tolist() == np.rot90(a, -1).tolist() and files.turned(a, 8).tolist() == np.rot90(a).tolist()
+    assert files.turned(a, 3).tolist() == a[::-1, ::-1].tolist() and files.turned(a, 5).tolist() == a.T.tolist()
+
+
+def test_tagged_jobs(spark):
+    from rasterloom.session import progress, tagged
+
+    with tagged(spark, "one") as cancel:
+        assert spark.range(10).count() == 10 and callable(cancel)
+        assert set(spark.sparkContext.getJobTags()) == {"one"} and isinstance(progress(spark), list)
+    assert not set(spark.sparkContext.getJobTags())
