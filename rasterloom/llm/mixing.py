@@ -10,7 +10,9 @@ the prefix whose tokens fit into what is left of its budget.
 
 The prefix is found in two steps so that no task orders a whole leaf: tokens
 are summed by leaf and by the first hexadecimal digits of the order's hash;
-only the one bucket in which a leaf's budget ends is ordered by document.
+only the one bucket in which a leaf's budget ends is ordered by document. What
+the plan says of a leaf reaches its documents by broadcast up to
+``BROADCAST_LEAVES`` leaves, which are counted first, else by a salted join.
 
 Defined results: null texts have no tokens and are in every epoch that is
 reached; a null language or source is the node ``?``; weights default to 1 and
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import text_or_empty, written
 
+#: Leaves (rows of the plan, some hundred bytes each) that may be broadcast; beyond it rows are dealt by leaf and ``SALTS`` parts of it.
+BROADCAST_LEAVES, SALTS = 1 << 16, 64
 WORD = r"[^\x09-\x0D\x20]+"
 
 
@@ -103,6 +107,14 @@ def budgets(docs: DataFrame, budget: float | None, fraction: float, max_epochs:
 PATH = ["__domain", "__language", "__leaf"]
 
 
+def _by_leaf(rows: DataFrame, leaves: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their leaf: broadcast if there are few, else dealt so that no task has a whole leaf."""
+    if few:
+        return rows.join(F.broadcast(leaves), PATH, how)
+    salted = leaves.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [*PATH, "__salt"], how).drop("__salt")
+
+
 def decide(docs: DataFrame, *, budget: float | None = None, fraction: float = 0.5, max_epochs: int = 4, weights: dict[str, dict[str, float]] | None = None, seed: int = 17, id_col: str = "doc_id", digits: int = 3) -> DataFrame:
     """``id_col, __domain, __language, __leaf, __tokens, __times``: how often each row is taken.
 
@@ -114,15 +126,16 @@ def decide(docs: DataFrame, *, budget: float | None = None, fraction: float = 0.
     if any(not w > 0 for level in weights.values() for w in level.values()):
         raise ValueError("weights must be positive")
     rows = written(tree_columns(docs).select(id_col, *PATH, "__tokens"), "mixing")
-    plan = budgets(rows, budget, fraction, max_epochs, weights)
+    plan = written(budgets(rows, budget, fraction, max_epochs, weights).select(*PATH, "epochs", "rest"), "plan")
+    few = plan.count() <= BROADCAST_LEAVES
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("?"))))
-    keyed = rows.join(plan.select(*PATH, "epochs", "rest"), PATH).withColumn("__place", place).withColumn("__bucket", F.substring("__place", 1, digits))
+    keyed = _by_leaf(rows, plan, few).withColumn("__place", place).withColumn("__bucket", F.substring("__place", 1, digits))
     sums = keyed.filter("rest > 0").groupBy(*PATH, "__bucket").agg(F.sum("__tokens").alias("held"), F.max("rest").alias("rest"))
     upto = W.partitionBy(*PATH).orderBy("__bucket").rowsBetween(W.unboundedPreceding, 0)
     sums = sums.withColumn("reached", F.sum("held").over(upto))
     # the first bucket that doesn't fit whole, and what is left for it
     last = sums.filter(F.col("reached") > F.col("rest")).groupBy(*PATH).agg(F.min("__bucket").alias("__last"), F.min_by(F.col("rest") - F.col("reached") + F.col("held"), "__bucket").alias("__left"))
-    keyed = keyed.join(last, PATH, "left")
+    keyed = _by_leaf(keyed, last, few, "left")
     here = F.coalesce(F.col("__bucket") == F.col("__last"), F.lit(False))
     run = W.partitionBy(*PATH, "__bucket").orderBy("__place")  # ties are taken together
     inside = keyed.filter(here).withColumn("__fits", F.sum("__tokens").over(run) <= F.col("__left"))
