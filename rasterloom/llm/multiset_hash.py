@@ -7,10 +7,10 @@ adding or subtracting its vector. A vector has two parts:
 
 * 8 lanes modulo 2**64 from a 512-bit hash of the paragraph's bytes. They
   decide equality of the multisets.
-* 128 lanes modulo 2**16 in which every word, with the two words that follow
+* 128 lanes modulo 2**32 in which every word, with the two words that follow
   it in the paragraph, adds or subtracts one. Small entries keep the lanes
   comparable: the cosine of two documents' lanes estimates the share of text
-  they have in common.
+  they have in common. A lane would wrap at 2**31 words of one sign only.
 
 Defined results: a null or empty text has the zero fingerprint; two zero
 fingerprints are alike (1.0); equal texts have equal fingerprints and likeness
@@ -46,7 +46,7 @@ def exact_lanes(paragraph: bytes) -> np.ndarray:
 
 
 def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes modulo 2**64 (n x 8) and modulo 2**16 (n x 128) of many texts."""
+    """Lanes modulo 2**64 (n x 8) and modulo 2**32 (n x 128) of many texts."""
     n = len(texts)
     exact, like = np.zeros((n, EXACT), dtype=np.uint64), np.zeros((n, LIKE), dtype=np.int64)
     start = 0
@@ -78,18 +78,18 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sign = 1 - 2 * (h >> np.uint64(56) & np.uint64(1)).astype(np.int64)
         cell = doc[of] * LIKE + lane
         like += np.bincount(cell, sign, n * LIKE).astype(np.int64).reshape(n, LIKE)
-    return exact, like.astype(np.uint16)
+    return exact, like.astype(np.uint32)
 
 
 def to_text(exact: np.ndarray, like: np.ndarray) -> str:
     """A fingerprint as hexadecimal text."""
-    return (exact.astype("<u8").tobytes() + like.astype("<u2").tobytes()).hex()
+    return (exact.astype("<u8").tobytes() + like.astype("<u4").tobytes()).hex()
 
 
 def from_text(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     """The lanes of a fingerprint's text."""
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[: EXACT * 8], dtype="<u8").copy(), np.frombuffer(raw[EXACT * 8 :], dtype="<u2").copy()
+    return np.frombuffer(raw[: EXACT * 8], dtype="<u8").copy(), np.frombuffer(raw[EXACT * 8 :], dtype="<u4").copy()
 
 
 def fingerprint(text: str | None) -> str:
@@ -112,7 +112,7 @@ def subtract(a: str, b: str) -> str:
 
 def likeness_of(exact_a: np.ndarray, like_a: np.ndarray, exact_b: np.ndarray, like_b: np.ndarray) -> np.ndarray:
     """Likeness, 0 to 1, of rows of lanes: 1 for equal fingerprints, else the lanes' cosine."""
-    a, b = like_a.astype(np.int16).astype(np.float64), like_b.astype(np.int16).astype(np.float64)
+    a, b = like_a.astype(np.int32).astype(np.float64), like_b.astype(np.int32).astype(np.float64)
     norm = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
     cosine = np.clip((a * b).sum(axis=1) / np.where(norm > 0, norm, 1), 0, 1)
     equal = (exact_a == exact_b).all(axis=1) & (like_a == like_b).all(axis=1)
