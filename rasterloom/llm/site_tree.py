@@ -8,12 +8,13 @@ importance (the same links, the same notice on every page) are removed from
 each page that has the repeated text there; what is left in blocks is the
 page's main text.
 
-Entropy alone says nothing about a host with few pages, so element semantics
+Entropy says little about a host with few pages: an importance is in doubt by
+``DOUBT`` divided by the number of pages. Element semantics
 are the prior importance of a branch: ``nav``, ``footer``, ``aside``, forms
 and scripts have none, and a page's ``article`` or ``main`` stands for the
 page, unless its articles are mere teasers. Inside and outside of them the
 tree decides alike. Class names of menus, adverts, notices or comments remove
-a branch unless the tree knows enough pages on which its texts differ; they
+a branch unless the tree is sure that its texts differ from page to page; they
 never count on what stands around an article. An article copied to many pages
 would look like a notice, so pages of one main text count once.
 
@@ -27,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,17 +53,22 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 #: Elements whose start ends an open paragraph.
 ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>"']|(?<==)\s*(?:"[^"]*"|'[^']*')|["'])*?(?:>|\Z)|[^<]+|<""", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 
-MIN_PAGES = 8
+#: How much more or less important than measured a branch may be, divided by the number of pages that tell.
+DOUBT = 1.5
 LOW = 0.2
 HIGH = 0.5
 SHARED = 0.05
+#: Bytes of decisions (as JSON) that may be broadcast, and parts of a host beyond that.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
+#: Characters of a path above which what is above it becomes a digest.
+LONG_PATH = 2000
 
 
 class Node:
@@ -72,15 +78,23 @@ class Node:
     the tree may contradict.
     """
 
-    __slots__ = ("tag", "style", "path", "parent", "parts", "noise", "soft")
+    __slots__ = ("tag", "style", "path", "parent", "parts", "noise", "soft", "region")
 
     def __init__(self, tag: str, style: str, parent: Node | None, noise: bool, soft: bool = False):
         self.tag, self.style, self.parent, self.noise, self.soft = tag, style, parent, noise, soft
-        self.path = style if parent is None else f"{parent.path}/{style}"
+        self.path = style if parent is None else _below(parent.path, style)
+        self.region = tag in REGION or (parent is not None and parent.region)
         self.parts: list[Node | str] = []
 
 
-def _start(source: str, tag: str, inside: Callable[[], bool]) -> tuple[str, bool, bool]:
+def _below(path: str, style: str) -> str:
+    """The path of an element below another; long ones begin with a digest of what is above."""
+    if len(path) > LONG_PATH:
+        path = "/".join(("#" + _digest(path), "", ""))
+    return f"{path}/{style}"
+
+
+def _start(source: str, tag: str, inside: bool) -> tuple[str, bool, bool]:
     """Style, noise and soft of a start tag; ``inside`` says if it stands in an article or main."""
     marks = _MARK.findall(source) if "=" in source else []
     values = {k.lower(): (a or b or c).lower() for k, a, b, c in marks}
@@ -88,7 +102,7 @@ def _start(source: str, tag: str, inside: Callable[[], bool]) -> tuple[str, bool
     words = lambda *keys: bool({w for k in keys for w in _WORDS.findall(values.get(k, ""))} & NOISE_WORDS)
     soft = tag not in WHOLE and words("class", "id", "role")
     if soft and tag in TITLED and not words("class", "role"):
-        soft = not inside()  # there an id is the name of a heading
+        soft = not inside  # there an id is the name of a heading
     return ".".join([tag, *classes]), tag in NOISE or values.get("aria-hidden") == "true", soft
 
 
@@ -122,8 +136,8 @@ def parse(source: str) -> Node:
                     if tag != "tr":
                         break
                 up = up.parent
-        style, noise, soft = _start(s, tag, lambda up=at: _inside(up, REGION))
-        if tag == "header" and not _inside(at, REGION):
+        style, noise, soft = _start(s, tag, at.region)
+        if tag == "header" and not at.region:
             noise = True
         node = Node(tag, style, at, noise, soft)
         at.parts.append(node)
@@ -176,21 +190,14 @@ def _unwrap(root: Node) -> None:
             clear(node)
 
 
-def _inside(node: Node | None, tags: set[str]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def _own_text(node: Node) -> str:
-    out = []
-    for p in node.parts:
+    out, todo = [], list(reversed(node.parts))
+    while todo:
+        p = todo.pop()
         if isinstance(p, str):
             out.append(p)
         elif p.tag in INLINE and not p.noise and not p.soft:
-            out.append(_own_text(p))
+            todo += reversed(p.parts)
     return _SPACE.sub(" ", "".join(out)).strip()
 
 
@@ -357,39 +364,50 @@ def _above() -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
 
 
-def low_branches(tree: DataFrame, counts: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+def low_branches(tree: DataFrame, counts: DataFrame, doubt: float = DOUBT, low: float = LOW) -> DataFrame:
     """``host, low``: the paths below which everything is of low importance, each with its repeated texts.
 
     A branch is as important as its most important node, so a path is kept if
     any path below it is. A text is a repeated one if at least ``SHARED`` of
-    the path's pages have it.
+    the path's pages have it. ``html`` and ``body`` are no branches.
     """
-    worth = F.greatest("presentation", "content")
-    poor = tree.filter((F.col("pages") >= min_pages) & (worth < low) & F.col("path").rlike("/.*/.*/"))
-    rich = tree.filter((F.col("pages") < min_pages) | (worth >= low)).select("host", F.explode(_above()).alias("path")).distinct()
+    worth = F.greatest("presentation", "content") + F.lit(doubt) / F.col("pages")
+    poor = tree.filter((worth < low) & F.col("path").rlike("/.*/.*/"))
+    rich = tree.filter(worth >= low).select("host", F.explode(_above()).alias("path")).distinct()
     poor = poor.join(rich, ["host", "path"], "left_anti").select("host", "path", "pages")
     often = counts.filter("kind = 'c' AND v <> '' AND n > 1").join(poor, ["host", "path"]).filter(F.col("n") >= F.lit(SHARED) * F.col("pages"))
     texts = often.groupBy("host", "path").agg(F.collect_list("v").alias("texts"))
     return texts.groupBy("host").agg(F.collect_list(F.struct("path", "texts")).alias("low"))
 
 
-def high_branches(tree: DataFrame, min_pages: int = MIN_PAGES, high: float = HIGH) -> DataFrame:
+def high_branches(tree: DataFrame, doubt: float = DOUBT, high: float = HIGH) -> DataFrame:
     """``host, high``: the paths with texts of high importance in or below soft elements.
 
     Texts alone say so: adverts may vary in shape without being text.
     """
-    rich = tree.filter(F.col("soft") & (F.col("pages") >= min_pages) & (F.col("content") >= high))
+    rich = tree.filter(F.col("soft") & (F.col("content") - F.lit(doubt) / F.col("pages") >= high))
     return rich.select("host", F.explode(_above()).alias("path")).groupBy("host").agg(F.collect_set("path").alias("high"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """``id_col, url, text, n_chars``: the main text of every page."""
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", doubt: float = DOUBT, low: float = LOW) -> DataFrame:
+    """``id_col, url, text, n_chars``: the main text of every page.
+
+    The tree's decisions reach the pages by broadcast up to ``BROADCAST_BYTES``,
+    which are measured first; beyond it pages and decisions are dealt by host
+    and ``SALTS`` parts of it, so a host's pages are no single task's work.
+    """
     kind = pages.schema[id_col].dataType.simpleString()
     counts = written(style_counts(pages, url_col, html_col), "styles")
     tree = style_tree(counts)
-    branches = low_branches(tree, counts, min_pages, low).join(high_branches(tree, min_pages), "host", "full")
+    branches = written(low_branches(tree, counts, doubt, low).join(high_branches(tree, doubt), "host", "full"), "branches")
+    held = branches.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
     rows = pages.select(F.col(id_col), F.col(url_col).alias("url"), text_or_empty(html_col).alias("html"), host_of(url_col).alias("host"))
-    joined = rows.join(branches, "host", "left").select(id_col, "url", "html", "low", "high")
+    if held <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(branches), "host", "left")
+    else:
+        salted = branches.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = joined.select(id_col, "url", "html", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", 4 << 20):
