@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import map_arrow, mix64, partitions, pieces, text_or_empty, word_hashes, written
 
-#: Ids that may be broadcast, 8 bytes each; beyond it a join is shuffled.
+#: Rows of a few numbers that may be broadcast; beyond it a join is shuffled.
 BROADCAST_IDS = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -168,7 +168,7 @@ def _nodes(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
             sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([parities(s) if len(s) else b"" for s in sets], pa.binary())], names=["doc", "n_shingles", "node", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([parities(s) if len(s) else b"" for s in sets], pa.binary())], names=["doc", "key", "n_shingles", "node", "bits"])
 
     return run
 
@@ -388,9 +388,9 @@ def checked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, per
     salted = written(pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").alias("salt")), "salted")
     asked = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("node"))
     asked = asked.union(salted.select("a", "salt", F.lit(0), "a").distinct())
-    asked = written(asked.join(nodes.select("node", "doc"), "node").select("a", "salt", "role", "node", "doc"), "asked")
+    asked = written(asked.join(nodes.select("node", "key"), "node").select("a", "salt", "role", "node", "key"), "asked")
     few = asked.count() <= BROADCAST_IDS
-    met = rows.join(F.broadcast(asked) if few else asked, "doc").select("a", "salt", "role", "node", "text")
+    met = rows.join(F.broadcast(asked) if few else asked, "key").select("a", "salt", "role", "node", "text")
     met = met.repartition(partitions(rows.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role")
     return written(map_arrow(met, _check(words, percent), "a long, b long"), "links")
 
@@ -404,14 +404,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
     labels = written(labels, "labels")
+    # a node with many partners is a hot key of these joins, so labels are broadcast as long as they are few
+    told = F.broadcast if labels.count() <= BROADCAST_IDS else (lambda x: x)
     while True:
-        around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        around = both.join(told(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         hooked = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         # the old label's node may now hang lower: its followers hang there too
         lower = hooked.filter("label < old").groupBy(F.col("old").alias("root")).agg(F.min("label").alias("root_label"))
-        moved = hooked.join(lower, hooked["old"] == lower["root"], "left").select("node", "old", F.least("label", F.coalesce("root_label", "label")).alias("label"))
+        moved = hooked.join(told(lower), hooked["old"] == lower["root"], "left").select("node", "old", F.least("label", F.coalesce("root_label", "label")).alias("label"))
         jump = moved.select(F.col("node").alias("via"), F.col("label").alias("via_label"))
-        step = written(moved.join(jump, moved["label"] == jump["via"], "left").select("node", "old", F.least("label", F.coalesce("via_label", "label")).alias("label")), "labels")
+        step = written(moved.join(told(jump), moved["label"] == jump["via"], "left").select("node", "old", F.least("label", F.coalesce("via_label", "label")).alias("label")), "labels")
         changed = step.filter("label <> old").limit(1).count()
         labels = step.select("node", "label")
         if not changed:
@@ -444,9 +446,11 @@ def _connect(pairs: DataFrame, edges: DataFrame | None, rows: DataFrame, nodes:
 def classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id`` of every document."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
-    sets = written(map_arrow(rows, _nodes(words), "doc long, n_shingles long, node long, bits binary"), "sets")
-    nodes = written(sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits")), "nodes")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("doc", "text"))
+    sets = written(map_arrow(rows, _nodes(words), "doc long, key long, n_shingles long, node long, bits binary"), "sets")
+    by_id = F.struct(F.col("doc").isNull().alias("none"), "doc", "key")
+    nodes = sets.filter("n_shingles > 0").groupBy("node").agg(F.min(by_id).alias("first"), F.count("*").alias("docs"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits"))
+    nodes = written(nodes.select("node", "first.doc", "first.key", "docs", "n", "bits"), "nodes")
     n = partitions(docs.sparkSession)
     packets = map_arrow(rows.select("text"), _packets(words, percent, n), "part int, low binary, high binary, nodes binary, counts binary")
     met = written(map_arrow(packets.repartition(n, "part").sortWithinPartitions("part"), _meet, "bucket long, pivot long, node long"), "met")
@@ -462,7 +466,7 @@ def classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str =
     several = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
     several = written(members.join(several, "bucket", "left_semi").distinct(), "several")
     heads = several.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("bucket")), 1, HEADS).alias("heads"))
-    dealt = several.join(nodes, "node").join(heads, "node").select("bucket", "node", "label", "n", "bits", "heads").repartition(n, "bucket").sortWithinPartitions("bucket")
+    dealt = several.join(nodes.select("node", "n", "bits"), "node").join(heads, "node").select("bucket", "node", "label", "n", "bits", "heads").repartition(n, "bucket").sortWithinPartitions("bucket")
     # a pair may still come from several buckets: it is made one before it meets the others
     rest = written(map_arrow(dealt, _mixed(percent), "a long, b long").distinct(), "found")
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
@@ -470,8 +474,12 @@ def classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str =
         _, labels = _connect(rest, edges, rows, nodes, words, percent)
     low = nodes.join(labels, "node").groupBy("label").agg(F.min("doc").alias("component"))
     named_low = labels.join(low, "label").select("node", "component")
-    own = nodes.join(named_low, "node", "left").select("node", F.coalesce("component", "doc").alias("component"))
-    full = sets.filter("n_shingles > 0").join(own, "node").select("doc", "n_shingles", "component")
+    own = written(nodes.join(named_low, "node", "left").select("node", "docs", F.coalesce("component", "doc").alias("component")), "components")
+    # a set that many documents have is told to them by broadcast: those above an even share are few by their number
+    least = max(1, (own.agg(F.sum("docs")).first()[0] or 0) // (4 * n))
+    full = sets.filter("n_shingles > 0").join(F.broadcast(own.filter(F.col("docs") > least).select("node", F.col("component").alias("told"), F.lit(True).alias("hot"))), "node", "left")
+    cold = full.filter("hot IS NULL").select("doc", "n_shingles", "node").join(own.filter(F.col("docs") <= least).select("node", "component"), "node").select("doc", "n_shingles", "component")
+    full = full.filter("hot").select("doc", "n_shingles", F.col("told").alias("component")).union(cold)
     none = sets.filter("n_shingles = 0").select("doc", "n_shingles", F.col("doc").alias("component"))
     return full.union(none).select(F.col("doc").cast(kind).alias(id_col), "n_shingles", F.col("component").alias("component_id"))
 
