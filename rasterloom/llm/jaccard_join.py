@@ -22,8 +22,8 @@ the symmetric difference, so most unlinked pairs go without their texts being
 read, and no linked one does. The others are checked exactly on the
 documents' shingles: first each node with the least of its partners, then the
 pairs that are still in different components. Buckets of three or more nodes
-that aren't in one component are then compared in blocks inside one task, by
-the bound alone; what passes is checked exactly too, so no link is lost.
+that aren't in one component are then compared by pairs of blocks, each pair
+of blocks in a task of its own, by the bound alone; what passes is checked exactly too, so no link is lost.
 Nodes are named by 64 bits of the set's hash (two sets in 2**64 would share a
 name).
 
@@ -292,6 +292,8 @@ def _bounded(percent: int):
 
 #: Least buckets that a node names, and pairs that are compared by them at once.
 HEADS, AT_ONCE = 16, 1 << 15
+#: Nodes of a bucket that make a block.
+BLOCK = 1024
 _LAST = 2**63 - 1
 
 
@@ -306,13 +308,17 @@ def _met_before(heads: np.ndarray, x: np.ndarray, y: np.ndarray, bucket: int) ->
 
 
 def _mixed(percent: int):
-    """Pairs that may link of different labels in one bucket, from rows sorted by bucket.
+    """Pairs that may link of different labels in one bucket, from rows sorted by bucket and pair of blocks.
+
+    A bucket of many nodes is cut into blocks; a group holds two of them (or
+    one twice), so a bucket's comparisons are spread over tasks.
 
     Each node names its least buckets. A pair is left to the least bucket that
     both name; pairs whose shared buckets neither names so come from each of them.
     """
 
-    def pairs(bucket: int, rows: list[tuple[int, int, int, bytes, list[int]]]) -> Iterator[pa.RecordBatch]:
+    def pairs(bucket: int, apart: bool, rows: list[tuple[int, int, int, bytes, list[int], int]]) -> Iterator[pa.RecordBatch]:
+        block = np.array([r[5] for r in rows])
         heads = np.array([r[4] + [_LAST] * (HEADS - len(r[4])) for r in rows], dtype=np.int64)
         node, label, size = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
         words = min(len(r[3]) for r in rows) // 8
@@ -323,8 +329,10 @@ def _mixed(percent: int):
         step = max(1, (1 << 21) // bits.size)
         for i in range(0, len(few), step):
             own = few[i : i + step]
-            apart = np.bitwise_count(bits[own][:, None, :] ^ bits[None]).sum(axis=2, dtype=np.int64)
-            ok = (apart * (100 + percent) <= (100 - percent) * (size[own][:, None] + size[None])) & (label[own][:, None] != label[None])
+            differ = np.bitwise_count(bits[own][:, None, :] ^ bits[None]).sum(axis=2, dtype=np.int64)
+            ok = (differ * (100 + percent) <= (100 - percent) * (size[own][:, None] + size[None])) & (label[own][:, None] != label[None])
+            if apart:  # pairs inside of one block are another group's
+                ok &= block[own][:, None] != block[None]
             # of two rare nodes one leads
             ok &= ~rare[None] | (node[own][:, None] < node[None])
             x, y = np.nonzero(ok)
@@ -336,16 +344,16 @@ def _mixed(percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows = None, []
+        group, rows = None, []
         for batch in batches:
-            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != bucket and rows:
-                    yield from pairs(bucket, rows)
+            for k, u, v, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, u, v) != group and rows:
+                    yield from pairs(group[0], group[1] != group[2], rows)
                     rows = []
-                bucket = k
+                group = (k, u, v)
                 rows.append(row)
         if rows:
-            yield from pairs(bucket, rows)
+            yield from pairs(group[0], group[1] != group[2], rows)
 
     return run
 
@@ -466,7 +474,13 @@ def classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str =
     several = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
     several = written(members.join(several, "bucket", "left_semi").distinct(), "several")
     heads = several.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("bucket")), 1, HEADS).alias("heads"))
-    dealt = several.join(nodes.select("node", "n", "bits"), "node").join(heads, "node").select("bucket", "node", "label", "n", "bits", "heads").repartition(n, "bucket").sortWithinPartitions("bucket")
+    # buckets of more than one block, which are few: at most a part in BLOCK of all rows
+    big = written(several.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "big")
+    told = F.broadcast(big) if big.count() <= BROADCAST_IDS else big
+    cut = several.join(told, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int"))
+    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"u": F.least("block", "with"), "v": F.greatest("block", "with")})
+    dealt = cut.join(nodes.select("node", "n", "bits"), "node").join(heads, "node").select("bucket", "u", "v", "node", "label", "n", "bits", "heads", "block").repartition(n, "bucket", "u", "v").sortWithinPartitions("bucket", "u", "v")
     # a pair may still come from several buckets: it is made one before it meets the others
     rest = written(map_arrow(dealt, _mixed(percent), "a long, b long").distinct(), "found")
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")

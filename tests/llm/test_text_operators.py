@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import bpe, gif, jaccard_join, mixing, multiset_hash, queries, rule_ensemble, sharding, site_tree, suffix_dedup, token_coder
-from rasterloom.llm.common import table
+from rasterloom.llm.common import mix64, table, word_hashes
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, doc string, h long, node long, label string"
@@ -66,6 +66,15 @@ def test_gif_query(odd, empty):
     assert sum(f.delay_ms for f in frames) and all(sum(f.hist_r) == gif.FRAME for f in frames)
 
 
+def test_gif_frames_of_odd_media(spark, odd):
+    stored = gif.store(odd)
+    kind = stored.schema["media"].dataType.simpleString()
+    bad = stored.withColumn("media", F.when(F.col("doc_id") == 2, F.lit(None)).when(F.col("doc_id") == 7, F.lit(b"GIF89a broken")).otherwise(F.col("media")).cast(kind))
+    whole, left = gif.frames(stored), gif.frames(bad)
+    assert left.columns == whole.columns
+    assert {r[0] for r in left.select("doc_id").distinct().collect()} >= {r[0] for r in whole.filter("doc_id NOT IN (2, 7)").select("doc_id").distinct().collect()}
+
+
 def brute_repeats(rows):
     seen, out = {}, []
     for k, t in sorted(rows, key=lambda r: 2**63 if r[0] is None else r[0]):
@@ -163,6 +172,54 @@ def test_site_tree_words_are_a_prior(spark):
     assert got == {i: f"body {i}" for i in range(12)}
 
 
+def test_site_tree_odd_pages(spark):
+    deep = "<div>" * 30000 + "deep" + "<span>" * 30000 + "est"
+    rows = [(1, None, None, 1, 2), (1, "http://h/x", deep, 1, 2), (1, "http://h/x", deep, 1, 2), (None, "no url", '<p title="x>open</p>', 1, 2), (4, "http://h/y", "<p title=\"a>b\">" + "long " * 40000, 1, 2), (5, "http://h/z", "<p>a<b>b</p>c", 1, 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int, host int")
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in site_tree.extract(df).collect())
+    long = ("long " * 40000).strip()
+    assert got == sorted([(1, "", 0), (1, "deepest", 7), (1, "deepest", 7), (0, "open", 4), (4, long, len(long)), (5, "ab c", 4)])
+    assert site_tree.extract(df.limit(0)).count() == 0
+
+
+def brute_importance(pages):
+    """Texts of low paths by definition, for pages (all of different main text) of one host."""
+    from collections import Counter
+    from math import log2
+
+    found = [site_tree.styles(site_tree.parse(p))[1] for p in pages]
+    paths = {p for f in found for p in f}
+    worth = {}
+    for p in paths:
+        own = [f[p] for f in found if p in f]
+        both = []
+        for i in (0, 1):
+            n, counts = len(own), Counter(x[i] for x in own)
+            h = sum(-c / n * log2(c / n) for c in counts.values())
+            both.append(0.0 if i == 1 and set(counts) == {""} else h / log2(n) if n > 1 else 1.0)
+        worth[p] = max(both) + site_tree.DOUBT / len(own)
+    low = {p for p in paths if worth[p] < site_tree.LOW and p.count("/") > 2 and not any(q.startswith(p + "/") and worth[q] >= site_tree.LOW for q in paths)}
+    return {p: {t for t, c in Counter(f[p][1] for f in found if p in f).items() if t and c > 1 and c >= site_tree.SHARED * sum(p in f for f in found)} for p in low}
+
+
+def test_site_tree_importance_by_definition(spark):
+    rnd = random.Random(4)
+    pages = []
+    for i in range(25):
+        menu = "<div class=m><p>Home</p><p>News</p></div>" if i % 9 else "<div class=m><p>Home</p></div>"
+        foot = f"<div class=f><p>{rnd.choice(['one', 'two'])}</p></div>"
+        pages.append(f"<html><body><div class=w>{menu}<div class=b><p>body {i}</p><p>{rnd.random()}</p></div>{foot}</div>")
+    want = {p: t for p, t in brute_importance(pages).items() if t}
+    df = spark.createDataFrame([(i, "http://h/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    counts = site_tree.style_counts(df)
+    got = {x["path"]: set(x["texts"]) for r in site_tree.low_branches(site_tree.style_tree(counts), counts).collect() for x in r["low"]}
+    assert got == want and want
+    texts = {r.page_id: r.text for r in site_tree.extract(df).collect()}
+    assert texts == {i: site_tree.main_text(site_tree.parse(p), {k: frozenset(v) for k, v in want.items()}) for i, p in enumerate(pages)}
+    # with the tree's say taken away the texts are others
+    assert any(texts[i] != site_tree.main_text(site_tree.parse(p)) for i, p in enumerate(pages))
+
+
 def test_bpe_against_library(odd, empty):
     from tokenizers import Tokenizer
 
@@ -182,6 +239,44 @@ def test_multiset_hash(odd, empty):
     assert multiset_hash.subtract(more, multiset_hash.fingerprint("d e")) == multiset_hash.fingerprint("a b c\nnew line here")
     got = multiset_hash.compare_edits(odd).collect()
     assert len(got) == odd.count() and multiset_hash.compare_edits(empty).count() == 0
+    whole = {(r.doc_id, r.text or "") for r in odd.collect()}
+    prints = {(k, multiset_hash.fingerprint(t), len(t)) for k, t in whole}
+    assert {(r.doc_id, r.fingerprint, r.n_chars) for r in got} == prints
+
+
+def plain_likeness(a, b):
+    """Likeness of two texts from lanes counted word by word."""
+    def lanes(text):
+        out = np.zeros(multiset_hash.LIKE)
+        for p in text.encode().split(b"\n"):
+            _, _, w = word_hashes(np.frombuffer(p + b"\n", dtype=np.uint8))
+            for i in range(len(w)):
+                second, third = (w[i + j] if i + j < len(w) else np.uint64(0) for j in (1, 2))
+                with np.errstate(over="ignore"):
+                    h = mix64(np.array([w[i] * np.uint64(3) + mix64(np.array([second + np.uint64(0x9E3779B97F4A7C15)]))[0] + third * np.uint64(0xC2B2AE3D27D4EB4F)]))[0]
+                out[int(h >> np.uint64(57))] += 1 - 2 * int(h >> np.uint64(56) & np.uint64(1))
+        return out
+    if multiset_hash.fingerprint(a) == multiset_hash.fingerprint(b):
+        return 1.0
+    x, y = lanes(a), lanes(b)
+    norm = np.sqrt((x * x).sum() * (y * y).sum())
+    return float(np.clip((x * y).sum() / norm, 0, 1)) if norm else 0.0
+
+
+def test_multiset_likeness_by_definition(spark):
+    rows = [(r.doc_id, r.text or "") for r in table(spark, SF, "documents").collect()]
+    rows = sorted([r for r in rows if len(r[1]) < 3000][:25], reverse=True)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in multiset_hash.compare_edits(df).collect()}
+    for (k, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True):
+        changed = multiset_hash.edited(t, n)
+        assert got[k].edited_fingerprint == multiset_hash.fingerprint(changed)
+        assert got[k].near_edited == pytest.approx(plain_likeness(t, changed)) and got[k].near_next == pytest.approx(plain_likeness(t, n))
+
+
+def test_multiset_likeness_of_long_repeats():
+    a, b = (multiset_hash.from_text(multiset_hash.fingerprint("a b c " * n)) for n in (40000, 20000))
+    assert multiset_hash.likeness_of(*(x[None] for x in (*a, *b)))[0] > 0.99
 
 
 def test_multiset_edits(spark):
@@ -199,13 +294,22 @@ def test_rule_ensemble(spark, odd, empty):
     model = rule_ensemble.fit(docs, labels)
     rows = rule_ensemble.score(docs, model).join(labels, "doc_id").filter(rule_ensemble.held_out(F.col("doc_id"))).collect()
     assert np.mean([r["__predicted"] == r.quality for r in rows]) > 0.97
-    assert all(0 <= r["__score"] <= 1 for r in rule_ensemble.score(odd, model).collect())
+    scored = rule_ensemble.score(odd, model).collect()
+    stats = rule_ensemble.statistics(F.coalesce(F.col("text"), F.lit("")))
+    plain = odd.select(*[c.cast("double").alias(k) for k, c in stats.items()]).collect()
+    want = model.score_rows({k: np.array([r[k] for r in plain]) for k in stats})
+    assert np.allclose(sorted(r["__score"] for r in scored), sorted(want)) and all(r["__predicted"] == (r["__score"] >= 0.3) for r in scored)
+    again = rule_ensemble.fit(docs.repartition(7), labels.repartition(3))
+    assert again == model
     assert rule_ensemble.score(empty, model).count() == 0
     assert rule_ensemble.fit(docs, labels.limit(0)).rules == ()
 
 
 def test_sharding(odd, empty):
     got = sharding.digests(odd, 4, bucket_bytes=2000).collect()
+    want = sorted(((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in odd.collect()), key=str)
+    assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=str) == want
+    assert sorted(map(str, got)) == sorted(map(str, sharding.digests(odd.repartition(3), 4, bucket_bytes=2000).collect()))
     assert len(got) == odd.count() and sharding.digests(empty, 4).count() == 0
     slots = {}
     for r in got:
@@ -305,7 +409,16 @@ def test_jaccard_join(spark, odd, empty):
     docs = table(spark, SF, "documents")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(docs, words=4, percent=85).collect()}
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()], 4, 85)
+    # rows with one id and a null id: components by the texts themselves
+    rows = [(i, r.text or "") for i, r in enumerate(odd.collect())]
+    want = brute_components(rows, 5, 80)
+    numbered = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in numbered} == want
     assert jaccard_join.classes(odd).count() == odd.count()
+    base = rows[2][1]
+    near = [(None, base + " x"), (None, base + " y"), (9, base), (12, base + " z"), (None, "other words that nobody else has at all")]
+    got = jaccard_join.classes(spark.createDataFrame(near, "doc_id long, text string")).collect()
+    assert sorted((r.component_id for r in got), key=str) == [9, 9, 9, 9, None]
     assert jaccard_join.classes(empty).count() == 0
     kept = jaccard_join.one_of_each(odd)
     assert kept.columns == odd.columns and kept.filter("doc_id = 3").count() == 0 and kept.filter("doc_id is null").count() == 1
@@ -331,19 +444,78 @@ def test_pipeline_columns(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_mixing_by_salted_leaves(odd, monkeypatch):
+    want = sorted(map(str, mixing.decide(odd, fraction=0.6, max_epochs=3).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
+    assert sorted(map(str, mixing.decide(odd, fraction=0.6, max_epochs=3).collect())) == want
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty):
+    import corpus_pipeline
+
+    for docs in (odd, empty):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            got = stage(spark, docs, SF)
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert got.columns == docs.columns
+            assert got.count() == 0 if docs is empty else got.count() > 0
+    near = corpus_pipeline.near_duplicates(spark, odd, SF).collect()
+    assert sum(r.doc_id in (2, 3) for r in near) == 2  # repeated rows of the least id stay, its copy goes
+    assert corpus_pipeline.passages(spark, odd, SF).count() == odd.count()
+
+
+def test_pipeline_against_plain_python(spark):
+    """All stages after the classifier, over its rows, by brute force."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = rule_ensemble.fit(docs, labels)
+    kept = {r.doc_id: r for r in rule_ensemble.score(docs, model).collect() if r["__predicted"] == 1}
+    component = brute_components([(k, r.text or "") for k, r in kept.items()], 5, 80)
+    kept = {k: r for k, r in kept.items() if component[k][1] == k}
+    cut, seen = {}, {}
+    for k in sorted(kept):
+        data = (kept[k].text or "").encode()
+        mark = np.zeros(len(data), dtype=bool)
+        for j in range(len(data) - 49):
+            if seen.setdefault(data[j : j + 50], k) != k:
+                mark[j : j + 50] = True
+        for on, off in zip(*(np.flatnonzero(np.diff(np.concatenate(([0], mark.view(np.int8), [0]))) == s) for s in (1, -1)), strict=True):
+            while on < off and data[on] & 0xC0 == 0x80:  # a character cut in two stays
+                mark[on] = False
+                on += 1
+            while off > on and off < len(data) and data[off] & 0xC0 == 0x80:
+                off -= 1
+                mark[off] = False
+        cut[k] = bytes(np.frombuffer(data, np.uint8)[~mark]).decode()
+    rows = [(k, cut[k], kept[k].lang, kept[k].source, len(cut[k])) for k in cut]
+    mixed = mixing.mix(spark.createDataFrame(rows, docs.schema), **queries.MIX).collect()
+    t = Tokenizer.from_file(queries.tokenizer_file("word_bpe_49k.json"))
+    want = []
+    for r in mixed:
+        ids = t.encode(r.text, add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()))
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == sorted(want) and got
+
+
 def test_mixed_buckets_make_each_pair():
     rng = np.random.default_rng(3)
     bits = [rng.integers(0, 256, 8, dtype=np.uint8).tobytes() for _ in range(40)]
     buckets = {int(k): sorted(set(rng.choice(40, 12).tolist())) for k in rng.integers(-(2**62), 2**62, 60)}
-    for spread in (1, 40):  # one family of many labels, and all apart
+    for spread, blocks in ((1, 1), (40, 1), (1, 3), (40, 3)):  # one family of many labels, and all apart; one block, and several
         rows = []
         for k in sorted(buckets):
-            for node in buckets[k]:
-                heads = sorted(b for b, nodes in buckets.items() if node in nodes)[: jaccard_join.HEADS]
-                rows.append((k, node, node % (spread + 1), 20, bits[node], heads))
+            for u in range(blocks):
+                for v in range(u, blocks):
+                    for node in buckets[k]:
+                        if node % blocks in (u, v):
+                            heads = sorted(b for b, nodes in buckets.items() if node in nodes)[: jaccard_join.HEADS]
+                            rows.append((k, u, v, node, node % (spread + 1), 20, bits[node], heads, node % blocks))
         cols = list(zip(*rows, strict=True))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "node", "label", "n", "bits", "heads"])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32())
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "u", "v", "node", "label", "n", "bits", "heads", "block"])
         got = [p for b in jaccard_join._mixed(10)([batch]) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         want = {(a, b) for nodes in buckets.values() for a in nodes for b in nodes if a < b and a % (spread + 1) != b % (spread + 1) and jaccard_join.may_link(bits[a], bits[b], 40, 10)}
         assert want and set(got) == want and len(got) < 1.2 * len(want)
