@@ -46,8 +46,8 @@ LENGTH = 50
 Q = 20
 #: Bytes of runs that are sorted at once; one anchor's runs stay together.
 CHUNK = 2 << 20
-#: Bytes of text whose anchors make one set of packets.
-PACKED = 8 << 20
+#: Bytes of text whose anchors make one set of packets, and whose equal runs are told apart at once.
+PACKED, MET = 4 << 20, 4 << 20
 
 
 def qgram_hashes(data: np.ndarray, q: int = Q) -> np.ndarray:
@@ -234,10 +234,15 @@ def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(buckets: int):
-    """The runs, with their bytes, of each row's shared anchors."""
+    """The runs, with their bytes, of each row's shared anchors.
+
+    Of equal runs in a batch those of larger ids are known to be repeats: they
+    go on as spans (no bytes; ``s`` to ``doc``), dealt by row. So what many
+    documents have reaches its anchor's task about once a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", MET):
             h, ctx, doc, row, s = [], [], [], [], []
             for k, name, t, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 wanted = np.concatenate([np.frombuffer(f["keys"], dtype=np.uint32).astype(np.int64) | np.int64(f["bucket"]) << np.int64(32) for f in found])
@@ -249,7 +254,16 @@ def _contexts(buckets: int):
                 doc.append(np.full(len(take), k))
                 row.append(np.full(len(take), name))
                 ctx += [t[a : a + b + LENGTH - 1] for a, b in zip(ss[take].tolist(), ns[take].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h), pa.int64()), pa.array(ctx, pa.binary()), pa.array(np.concatenate(doc), pa.int64()), pa.array(np.concatenate(row), pa.int64()), pa.array(np.concatenate(s), pa.int32())], names=["h", "bytes", "doc", "row", "s"])
+            anchor, docs, rows, place = (np.concatenate(x) for x in (h, doc, row, s))
+            least: dict[bytes, int] = {}
+            for t, d in zip(ctx, docs.tolist(), strict=True):
+                if d < least.setdefault(t, d):
+                    least[t] = d
+            first = np.fromiter(map(least.__getitem__, ctx), np.int64, len(ctx))
+            again = docs > first
+            width = np.fromiter(map(len, ctx), np.int64, len(ctx))
+            held = pa.array([None if x else t for x, t in zip(again.tolist(), ctx, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(again, rows, anchor), pa.int64()), held, pa.array(np.where(again, place + width, docs), pa.int64()), pa.array(rows, pa.int64()), pa.array(place.astype(np.int32))], names=["h", "bytes", "doc", "row", "s"])
 
     return run
 
@@ -280,7 +294,10 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for h, t, d, w, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if h != last_h:
+            if t is None:  # a span already
+                out.append((w, s, d))
+                continue
+            if h != last_h or not texts:
                 if size > CHUNK:
                     sort()
                     size = 0
