@@ -210,8 +210,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, id_col:
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("__doc"), text.alias("__text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
     stats = statistics(F.col("__text"))
-    # in one order, whatever the order of arrival: sums of the fit and a cut among repeated ids stay the same
-    got = rows.orderBy(F.xxhash64("__id"), "__id", "__y", F.xxhash64("__text")).limit(max_rows).select("__y", *[c.cast("double").alias(k) for k, c in stats.items()]).collect()
+    # in one order, whatever the order of arrival: sums of the fit and a cut among repeated ids stay the same;
+    # the statistics are made first, so that no text is ordered or sent
+    order = [F.xxhash64("__id").alias("__1"), F.col("__id").alias("__2"), F.xxhash64("__text").alias("__3")]
+    made = rows.select("__y", *order, *[c.cast("double").alias(k) for k, c in stats.items()])
+    got = made.orderBy("__1", "__2", "__3", "__y").limit(max_rows).collect()
     y = np.array([r["__y"] for r in got], dtype=float)
     return fit_rows({k: np.array([r[k] for r in got], dtype=float) for k in stats}, y)
 
