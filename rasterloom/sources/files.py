@@ -26,15 +26,15 @@ def _wanted(df: DataFrame, without: str | None) -> DataFrame:
     return df if without is None else df.filter(~F.contains("path", F.lit(without.rstrip("/") + "/")))
 
 
-def image_files(spark: SparkSession, folder: str, recursive: bool = False, without: str | None = None) -> DataFrame:
+def image_files(spark: SparkSession, folder: str | list[str], recursive: bool = False, without: str | None = None) -> DataFrame:
     """``path, length, modificationTime, content`` of a folder's images by path; nothing below ``without``."""
     return _wanted(spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder), without).orderBy("path")
 
 
-def image_stream(spark: SparkSession, folder: str, without: str | None = None) -> DataFrame:
-    """The same as a stream: a row for each image that comes to the folder."""
+def image_stream(spark: SparkSession, folder: str, without: str | None = None, most: int = 1000) -> DataFrame:
+    """The same as a stream: a row for each image that comes to the folder, ``most`` files a batch."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return _wanted(spark.readStream.format("binaryFile").schema(schema).load(folder), without)
+    return _wanted(spark.readStream.format("binaryFile").option("maxFilesPerTrigger", most).schema(schema).load(folder), without)
 
 
 def orientation(head: bytes) -> int:
@@ -69,8 +69,8 @@ def turned(a: np.ndarray, how: int) -> np.ndarray:
     return a
 
 
-def read_rasters(spark: SparkSession, folder: str, recursive: bool = False, without: str | None = None) -> DataFrame:
-    """Raster rows, with ``origin``, of every image that Spark's reader can decode, turned as its EXIF says.
+def read_rasters(spark: SparkSession, folder: str | list[str], recursive: bool = False, without: str | None = None) -> DataFrame:
+    """Raster rows, with ``origin``, of every image of a folder (or of files) that Spark's reader can decode, turned as its EXIF says.
 
     ``image_id`` is a hash of the path. Samples of 16 bits and other layouts
     that the reader gives up on give no row.

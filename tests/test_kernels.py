@@ -294,3 +294,27 @@ def test_tagged_jobs(spark):
         assert spark.range(10).count() == 10 and callable(cancel)
         assert set(spark.sparkContext.getJobTags()) == {"one"} and isinstance(progress(spark), list)
     assert not set(spark.sparkContext.getJobTags())
+
+
+def test_stream_of_images(spark, tmp_path):
+    from rasterloom.sources import files
+    from rasterloom.streaming.images import enhance_folder
+
+    come, made = tmp_path / "in", tmp_path / "out"
+    come.mkdir()
+    pictures = [RNG.integers(0, 256, s).astype(np.uint8) for s in ((12, 9, 3), (8, 10, 3), (9, 9, 3))]
+    same = {"scale": 1.0, "enable_diagnostics": False, "max_megapixels": 1.0}
+
+    def run():
+        enhance_folder(spark, str(come), str(made), str(tmp_path / "state"), once=True, most=2, **same).awaitTermination()
+
+    for i, a in enumerate(pictures[:2]):
+        (come / f"{i}.png").write_bytes(files.png(a[:, :, ::-1]))
+    run()
+    assert sorted(p.name for p in made.glob("*.png")) == ["0_enhanced.png", "1_enhanced.png"]
+    (come / "2.png").write_bytes(files.png(pictures[2][:, :, ::-1]))
+    run()
+    got = {r.origin.rsplit("/", 1)[1]: r for r in files.read_rasters(spark, str(made), without=str(made / "_reports")).collect()}
+    for i, a in enumerate(pictures):
+        assert bytes(got[f"{i}_enhanced.png"].data) == plan.run(a, same)["image"].tobytes()
+    assert spark.read.parquet(str(made / "_reports")).count() == 3
