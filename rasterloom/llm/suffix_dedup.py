@@ -47,7 +47,7 @@ Q = 20
 #: Bytes of runs that are sorted at once; one anchor's runs stay together.
 CHUNK = 2 << 20
 #: Bytes of text whose anchors make one set of packets, and whose equal runs are told apart at once.
-PACKED, MET = 4 << 20, 4 << 20
+PACKED, MET = 4 << 20, 2 << 20
 
 
 def qgram_hashes(data: np.ndarray, q: int = Q) -> np.ndarray:
